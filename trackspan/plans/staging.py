@@ -1,0 +1,57 @@
+"""Shared intermediate results."""
+
+from __future__ import annotations
+
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder all executors see, as the session names it."""
+    return spark.conf.get(CHECKPOINT_DIR, None) or None
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once for several readers.
+
+    Written as a table to the shared folder, where it outlives any executor and keeps column pruning and
+    filter push-down; without such a folder it is persisted, and lost parts are computed again.
+    """
+    folder = shared_dir(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/trackspan-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Snapshot:
+    """The enriched tickets, loaded again after ``ttl`` seconds or on request. Empty loads are not kept."""
+
+    def __init__(self, load: Callable[[], DataFrame], ttl: float = 300.0, clock: Callable[[], float] = time.time):
+        self._load, self._ttl, self._clock = load, ttl, clock
+        self._held: DataFrame | None = None
+        self.loaded_at: float | None = None
+
+    def get(self, force_refresh: bool = False) -> DataFrame:
+        now = self._clock()
+        if self._held is not None and not force_refresh and now - self.loaded_at < self._ttl:
+            return self._held
+        self.release()
+        fresh = self._load().persist(StorageLevel.MEMORY_AND_DISK)
+        if fresh.isEmpty():
+            fresh.unpersist()
+            return fresh
+        self._held, self.loaded_at = fresh, now
+        return fresh
+
+    def release(self) -> None:
+        if self._held is not None:
+            self._held.unpersist()
+        self._held, self.loaded_at = None, None
