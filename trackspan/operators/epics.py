@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import values as V
 from ..functions import metrics as M, text as X
 from ..functions.ratio import profiles, upper_bounds
+from ..staging import stage
 from . import lookup
 from .aggregates import measures
 
@@ -95,7 +96,7 @@ def _tiled(asked: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = (titles.join(grid, "scope").withColumn("t_tile", F.pmod(F.xxhash64("epic"), F.col("nt")).cast("int"))
          .withColumn("q_tile", spread("nq"))
          .select("scope", "q_tile", "t_tile", "title", F.col("epic.age").alias("age"), F.col("epic.key").alias("key")))
-    return q, t
+    return lookup.spread(q, *_TILE_KEYS), lookup.spread(t, *_TILE_KEYS)
 
 
 _TILE_KEYS = ["scope", "q_tile", "t_tile"]
@@ -153,15 +154,16 @@ def resolve_epics(queries: DataFrame, epics: DataFrame, title: str = "title",
     """
     given = queries.withColumns({
         "_is_key": X.is_ticket_key(title), "_scope": X.norm_upper("project"), "_q": X.norm(title)})
-    asked = given.where("NOT _is_key AND _q <> ''").select(
-        F.col("_scope").alias("project"), F.col("_q").alias("q")).distinct()
-    titles = _titles(epics)
+    asked = stage(given.where("NOT _is_key AND _q <> ''").select(
+        F.col("_scope").alias("project"), F.col("_q").alias("q")).distinct(), "asked")
+    titles = stage(_titles(epics), "titles")
     by = ["project", "q"]
     found = (_contains_tier(asked, titles).withColumn("tier", F.lit(1))
              .unionByName(_words_tier(asked, titles).withColumn("tier", F.lit(2)))
              .groupBy(*by).agg(F.min(F.struct("tier", "epic")).alias("best"))
              .select(*by, "best.tier", F.col("best.epic.key").alias("epic_key"), F.lit(None).cast("double").alias("ratio")))
     if min_ratio is not None:
+        found = stage(found, "found")
         left = asked.join(found, by, "left_anti").withColumnRenamed("project", "scope")
         similar = _best_titles(left, titles.withColumn("scope", F.col("project")), 1, min_ratio, False)
         found = found.unionByName(similar.select(F.col("scope").alias("project"), "q", F.lit(3).alias("tier"),
@@ -184,7 +186,7 @@ def epic_title_topk(queries: DataFrame, epics: DataFrame, title: str = "title",
     k = max(1, int(limit))
     given = queries.withColumns({
         "_scope": F.coalesce(X.blank_to_null(X.norm_upper("project")), F.lit(_ALL)), "_q": X.norm(title)}).where("_q <> ''")
-    asked = given.select(F.col("_scope").alias("scope"), F.col("_q").alias("q")).distinct()
+    asked = stage(given.select(F.col("_scope").alias("scope"), F.col("_q").alias("q")).distinct(), "asked")
     scopes = asked.select("scope").distinct()
     each = (epics.select("key", "project", X.strip(F.coalesce("summary", F.lit(""))).alias("shown"),
                          M.newest_first("created").alias("age"))
@@ -194,8 +196,8 @@ def epic_title_topk(queries: DataFrame, epics: DataFrame, title: str = "title",
     order = Window.partitionBy("scope", "q").orderBy("age", "key")
     inside = (lookup.occurrences(each.select("scope", "title", "age", "key"), "title", asked, "q", ["scope"])
               .where(F.expr("instr(title, q) = start")))
-    full = (inside.select("scope", "q", "age", "key").withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k))
+    full = stage(inside.select("scope", "q", "age", "key").withColumn("rank", F.row_number().over(order))
+                 .where(F.col("rank") <= k), "contained")
     enough = full.where(F.col("rank") == k).select("scope", "q")
     # Equal titles score alike, so of each title only its first k epics can be among the k best.
     by_title = Window.partitionBy("scope", "title").orderBy("age", "key")

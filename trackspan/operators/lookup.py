@@ -1,10 +1,15 @@
 """Substring lookups as equi-joins.
 
-``needle in text`` is a nested loop when written as a join condition. Here every text is cut into its
-substrings of the lengths that occur among the needles, and needle and substring meet in an equi-join. The
-work is linear in the texts, rows that match nothing are dropped at the join, and "first match" is a
-``min`` per needle, so a needle found in a third of all rows is combined on the map side and never listed.
-Spark broadcasts the needles when their measured size allows it and shuffles both sides otherwise.
+``needle in text`` is a nested loop when written as a join condition. Here needle and text meet in two
+equi-joins instead:
+
+1. each text position whose next few characters are the head of some needle (heads are unique, so a
+   position meets at most one row per head length),
+2. from those positions, the substrings as long as the needles with that head, matched to the needles.
+
+The work is linear in the texts, whatever matches nothing is dropped early, and "first match" is a ``min``
+per needle, so a needle found in a third of all rows is combined on the map side and never listed. Spark
+broadcasts heads and needles when their measured size allows it and shuffles both sides otherwise.
 """
 
 from __future__ import annotations
@@ -13,35 +18,48 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..staging import stage
+
+HEAD = 8
+
 
-def lengths_of(needles: DataFrame, needle: str) -> Column:
-    """Distinct needle lengths as a one-row value: at most one entry per length."""
-    return needles.where(F.length(needle) > 0).agg(F.sort_array(F.collect_set(F.length(needle)))).scalar()
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions. For small tables whose rows are about to cost a lot of work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def substrings(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """One row per substring of ``text`` (column ``needle``, one-based ``start``)."""
-    size = F.length(text)
-    return (texts
-            .withColumn("_lengths", lengths_of(needles, needle))
-            .withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= size)))
-            .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("_n") + 1)))
-            .withColumn(needle, F.col(text).substr(F.col("start"), F.col("_n")))
-            .drop("_lengths", "_n"))
+def substrings(texts: DataFrame, text: str, needles: DataFrame, needle: str, scope: Sequence[str] = ()) -> DataFrame:
+    """Substrings of ``text`` (column ``needle``, one-based ``start``) that may be needles of the same scope."""
+    size, start = F.length(text), F.col("start")
+    heads = (needles.where(F.length(needle) > 0).groupBy(*scope, F.substring(needle, 1, HEAD).alias("_head"))
+             .agg(F.collect_set(F.length(needle)).alias("_sizes")))
+    head_sizes = heads.agg(F.sort_array(F.collect_set(F.length("_head")))).scalar()
+    return (spread(texts)
+            .withColumn("_head_sizes", head_sizes)
+            .withColumn("_h", F.explode(F.filter("_head_sizes", lambda h: h <= size)))
+            .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("_h") + 1)))
+            .withColumn("_head", F.col(text).substr(start, F.col("_h")))
+            .join(heads, [*scope, "_head"])
+            .withColumn("_n", F.explode(F.filter("_sizes", lambda n: n <= size - start + 1)))
+            .withColumn(needle, F.col(text).substr(start, F.col("_n")))
+            .drop("_head_sizes", "_h", "_head", "_sizes", "_n"))
 
 
 def prefixes(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Texts that start with a needle, one row per such needle."""
-    cut = (texts.withColumn("_lengths", lengths_of(needles, needle))
-           .withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length(text))))
-           .withColumn(needle, F.col(text).substr(F.lit(1), F.col("_n"))).drop("_lengths", "_n"))
-    return cut.join(needles.select(needle).distinct(), needle, "left_semi")
+    wanted = stage(needles.select(needle).distinct(), "needles")
+    sizes = wanted.where(F.length(needle) > 0).agg(F.sort_array(F.collect_set(F.length(needle)))).scalar()
+    cut = (texts.withColumn("_sizes", sizes)
+           .withColumn("_n", F.explode(F.filter("_sizes", lambda n: n <= F.length(text))))
+           .withColumn(needle, F.col(text).substr(F.lit(1), F.col("_n"))).drop("_sizes", "_n"))
+    return cut.join(wanted, needle, "left_semi")
 
 
 def occurrences(texts: DataFrame, text: str, needles: DataFrame, needle: str, scope: Sequence[str] = ()) -> DataFrame:
     """Substrings of ``texts`` that are needles (of the same ``scope``)."""
     on = [*scope, needle]
-    return substrings(texts, text, needles, needle).join(needles.select(*on).distinct(), on, "left_semi")
+    wanted = stage(needles.select(*on).distinct(), "needles")
+    return substrings(texts, text, wanted, needle, scope).join(wanted, on, "left_semi")
 
 
 def first_containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, hit: Column,
@@ -54,5 +72,6 @@ def first_containing(texts: DataFrame, text: str, needles: DataFrame, needle: st
 def first_contained(texts: DataFrame, text: str, needles: DataFrame, needle: str, by: Sequence[str], hit: str,
                     scope: Sequence[str] = ()) -> DataFrame:
     """Per row key ``by``: the smallest ``hit`` among the needles found inside its text."""
-    best = needles.groupBy(*scope, needle).agg(F.min(hit).alias(hit))
-    return substrings(texts, text, needles, needle).join(best, [*scope, needle]).groupBy(*by).agg(F.min(hit).alias("hit"))
+    best = stage(needles.groupBy(*scope, needle).agg(F.min(hit).alias(hit)), "needles")
+    return (substrings(texts, text, best, needle, scope).join(best, [*scope, needle])
+            .groupBy(*by).agg(F.min(hit).alias("hit")))

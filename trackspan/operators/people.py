@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
 from ..functions import text as X
+from ..staging import stage
 from . import lookup
 
 def _found() -> Column:
@@ -46,7 +47,7 @@ def _ranked_hits(names: DataFrame, texts: DataFrame, domain: str) -> DataFrame:
     candidate (both name parts inside the display name; display name starts with a lone first part) hold
     already for candidate 0.
     """
-    parts = names.withColumns({"_first": X.name_part("nq", 1), "_last": X.name_part("nq", -1)})
+    parts = stage(names.withColumns({"_first": X.name_part("nq", 1), "_last": X.name_part("nq", -1)}), "names")
     candidates = parts.select("nq", F.posexplode(X.email_candidates("nq", "_first", "_last", domain)).alias("rank", "needle"))
     pairs = parts.where((F.col("_first") != "") & (F.col("_last") != "")).select("_first", "_last").distinct()
     lone = parts.where((F.col("_first") != "") & (F.col("_last") == "")).select("nq", F.col("_first").alias("needle"))
@@ -56,8 +57,8 @@ def _ranked_hits(names: DataFrame, texts: DataFrame, domain: str) -> DataFrame:
     wanted = (candidates.select("needle", F.lit(False).alias("_in_name"))
               .unionByName(sides.select("needle", F.lit(True).alias("_in_name")))
               .groupBy("needle").agg(F.bool_or("_in_name").alias("_in_name")))
-    found = (lookup.occurrences(texts, "text", wanted, "needle")
-             .groupBy("needle").agg(F.min(_found()).alias("hit"), F.count_if("is_name").alias("n_names")))
+    found = stage(lookup.occurrences(texts, "text", wanted, "needle")
+                  .groupBy("needle").agg(F.min(_found()).alias("hit"), F.count_if("is_name").alias("n_names")), "found")
     direct = candidates.join(found, "needle").select("nq", "rank", "hit.*")
 
     # Display names starting with the lone part: prefixes only, so one substring per length.

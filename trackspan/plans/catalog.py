@@ -17,7 +17,7 @@ from ..sources.schemas import BOARD, CHAT_TURN, PROJECT, SPRINT, USER
 from ..sources.warehouse import AS_OF, BASE_URL, EMAIL_DOMAIN, Warehouse
 from ..streaming.messages import write_available
 from . import report as RP
-from .staging import shared_dir
+from ..staging import shared_dir
 
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import aggregates as A
 from ..operators import rankings as R
 from ..operators.epics import epic_rollup_of
-from .staging import stage
+from ..staging import stage
 
 NO_DATA = "No data available"
 

@@ -18,17 +18,21 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once for several readers.
+    """``df`` computed once for several readers, who then plan against its real size.
 
-    Written as a table to the shared folder, where it outlives any executor and keeps column pruning and
-    filter push-down; without such a folder it is persisted, and lost parts are computed again.
+    Written as a table to the shared folder, where it outlives any executor, keeps column pruning and filter
+    push-down, and is deleted when the application ends. Without such a folder it is persisted, and lost
+    parts are computed again.
     """
-    folder = shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    folder = shared_dir(spark)
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/trackspan-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Snapshot:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.report import summarize, tall, _sections
-from ..plans.staging import stage
+from ..staging import stage
 
 
 def refreshed_report(arrivals: DataFrame, load: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
