@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from .. import values as V
 
 MICROS_PER_DAY = 86_400_000_000
-TIMESTAMP_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSZ", "yyyy-MM-dd'T'HH:mm:ssZ")
 
 
 def _col(c) -> Column:
@@ -34,15 +33,13 @@ def is_resolved(c) -> Column:
 
 
 def parse_ts(c) -> Column:
-    """Instant of an ISO text with or without offset; null when it is not one."""
-    c = _col(c)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in TIMESTAMP_FORMATS], c.try_cast("timestamp"))
+    """Instant of an ISO text, with or without an offset; null when it is not one."""
+    return _col(c).try_cast("timestamp")
 
 
 def local_ts(c) -> Column:
     """Wall clock of an ISO text: the same text without its offset."""
-    bare = F.regexp_replace(_col(c), r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return F.when(parse_ts(c).isNotNull(), bare.try_cast("timestamp_ntz"))
+    return F.regexp_replace(_col(c), r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
 
 
 def resolution_days(status, created, updated) -> Column:

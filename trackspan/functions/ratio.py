@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+import sys
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
+# Executors get these functions with the task, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHAR_BINS, PAIR_BINS = 64, 256
+SCORED = "scope string, q string, score double, age long, key string"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -45,3 +52,36 @@ def upper_bounds(query: tuple, row: int, titles: tuple) -> np.ndarray:
     matched = np.minimum(np.minimum(t_chars, q_chars).sum(axis=1),
                          (np.minimum(t_pairs, q_pairs).sum(axis=1) + total + 1) // 3)
     return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0)
+
+
+def best_of_tile(k: int, floor: float, contains_is_one: bool):
+    """Scores one tile best bound first and keeps the ``k`` best titles of each query."""
+
+    def score(key, queries: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or titles.empty:
+            return pd.DataFrame({"scope": [], "q": [], "score": [], "age": [], "key": []})
+        titles = titles.sort_values(["age", "key"], ignore_index=True)
+        texts, asked = titles["title"].tolist(), queries["q"].tolist()
+        t_profiles, q_profiles = profiles(texts), profiles(asked)
+        matchers: dict[int, SequenceMatcher] = {}
+        out = []
+        for row, q in enumerate(asked):
+            bounds = upper_bounds(q_profiles, row, t_profiles)
+            if contains_is_one:
+                bounds = bounds.copy()
+                bounds[[i for i, t in enumerate(texts) if q in t]] = 1.0
+            best: list[tuple[float, int]] = []
+            for i in (-bounds).argsort(kind="stable"):
+                if bounds[i] < floor or (len(best) == k and bounds[i] < best[0][0]):
+                    break
+                matcher = matchers.get(i)
+                if matcher is None:
+                    matcher = matchers[i] = SequenceMatcher(None, "", texts[i])
+                matcher.set_seq1(q)
+                value = 1.0 if contains_is_one and q in texts[i] else matcher.ratio()
+                if value >= floor:
+                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (value, -int(i)))
+            out += [(key[0], q, value, int(titles["age"][-i]), titles["key"][-i]) for value, i in best]
+        return pd.DataFrame(out, columns=["scope", "q", "score", "age", "key"])
+
+    return score

@@ -5,15 +5,11 @@
 
 from __future__ import annotations
 
-import heapq
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
 from ..functions import metrics as M, text as X
-from ..functions.ratio import profiles, upper_bounds
+from ..functions.ratio import SCORED, best_of_tile
 from ..staging import stage
 from . import lookup
 from .aggregates import measures
@@ -100,47 +96,13 @@ def _tiled(asked: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _TILE_KEYS = ["scope", "q_tile", "t_tile"]
-_SCORED = "scope string, q string, score double, age long, key string"
-
-
-def _best_of_tile(k: int, floor: float, contains_is_one: bool):
-    """Scores one tile best bound first and keeps the ``k`` best titles of each query."""
-
-    def score(key, queries: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or titles.empty:
-            return pd.DataFrame({"scope": [], "q": [], "score": [], "age": [], "key": []})
-        titles = titles.sort_values(["age", "key"], ignore_index=True)
-        texts, asked = titles["title"].tolist(), queries["q"].tolist()
-        t_profiles, q_profiles = profiles(texts), profiles(asked)
-        matchers: dict[int, SequenceMatcher] = {}
-        out = []
-        for row, q in enumerate(asked):
-            bounds = upper_bounds(q_profiles, row, t_profiles)
-            if contains_is_one:
-                bounds = bounds.copy()
-                bounds[[i for i, t in enumerate(texts) if q in t]] = 1.0
-            best: list[tuple[float, int]] = []
-            for i in (-bounds).argsort(kind="stable"):
-                if bounds[i] < floor or (len(best) == k and bounds[i] < best[0][0]):
-                    break
-                matcher = matchers.get(i)
-                if matcher is None:
-                    matcher = matchers[i] = SequenceMatcher(None, "", texts[i])
-                matcher.set_seq1(q)
-                value = 1.0 if contains_is_one and q in texts[i] else matcher.ratio()
-                if value >= floor:
-                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (value, -int(i)))
-            out += [(key[0], q, value, int(titles["age"][-i]), titles["key"][-i]) for value, i in best]
-        return pd.DataFrame(out, columns=["scope", "q", "score", "age", "key"])
-
-    return score
 
 
 def _best_titles(asked: DataFrame, titles: DataFrame, k: int, floor: float, contains_is_one: bool) -> DataFrame:
     """The ``k`` most similar titles per (scope, q)."""
     q, t = _tiled(asked, titles)
     scored = q.groupBy(*_TILE_KEYS).cogroup(t.groupBy(*_TILE_KEYS)).applyInPandas(
-        _best_of_tile(k, floor, contains_is_one), _SCORED)
+        best_of_tile(k, floor, contains_is_one), SCORED)
     order = Window.partitionBy("scope", "q").orderBy(F.col("score").desc(), "age", "key")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -158,10 +120,10 @@ def resolve_epics(queries: DataFrame, epics: DataFrame, title: str = "title",
         F.col("_scope").alias("project"), F.col("_q").alias("q")).distinct(), "asked")
     titles = stage(_titles(epics), "titles")
     by = ["project", "q"]
-    found = (_contains_tier(asked, titles).withColumn("tier", F.lit(1))
-             .unionByName(_words_tier(asked, titles).withColumn("tier", F.lit(2)))
-             .groupBy(*by).agg(F.min(F.struct("tier", "epic")).alias("best"))
-             .select(*by, "best.tier", F.col("best.epic.key").alias("epic_key"), F.lit(None).cast("double").alias("ratio")))
+    contained = stage(_contains_tier(asked, titles).withColumn("tier", F.lit(1)), "contained")
+    left = asked.join(contained, by, "left_anti")
+    found = contained.unionByName(_words_tier(left, titles).withColumn("tier", F.lit(2))).select(
+        *by, "tier", F.col("epic.key").alias("epic_key"), F.lit(None).cast("double").alias("ratio"))
     if min_ratio is not None:
         found = stage(found, "found")
         left = asked.join(found, by, "left_anti").withColumnRenamed("project", "scope")

@@ -24,7 +24,8 @@ def parse_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
 
 
 def issues(pages: DataFrame) -> DataFrame:
-    return pages.select(F.explode("issues").alias("issue")).select("issue.*")
+    """All issues of all pages. The outer form keeps the optimizer from parsing twice to pre-check sizes."""
+    return pages.select(F.explode_outer("issues").alias("issue")).where("issue IS NOT NULL").select("issue.*")
 
 
 def read_issue_pages(spark: SparkSession, path) -> DataFrame:

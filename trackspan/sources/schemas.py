@@ -68,3 +68,17 @@ CHAT_TURN = T.StructType([
     T.StructField("turn", T.LongType()),
     *_strings("role", "text"),
 ])
+
+# The columns read from each Parquet table.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz",
+    "documents": "doc_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}

@@ -9,8 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import metrics as M
 from ..operators.enrich import with_ticket_defaults
+from .schemas import TABLES
 
 AS_OF = "2001-08-01"
 EMAIL_DOMAIN = "example.com"
@@ -32,7 +32,7 @@ class Warehouse:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # -- tickets ------------------------------------------------------------
 
