@@ -69,7 +69,8 @@ def safe_pct(part, whole) -> Column:
 
 def clamp_trend(slope) -> Column:
     """slope / max(|slope|, 1), which is the slope held within [-1, 1]; zero when there is none."""
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _col(slope))), F.lit(0.0))
+    slope = _col(slope)
+    return F.when(slope.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), slope)))
 
 
 def newest_first(c) -> Column:

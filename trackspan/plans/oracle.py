@@ -240,10 +240,11 @@ _OVERVIEW = """SELECT count(*) AS total_tickets, count(*) FILTER (status_categor
   count(*) FILTER (status_category = 'Resolved') AS resolved_tickets, count(*) FILTER (status_category = 'Pending') AS pending_tickets,
   coalesce(avg(resolution_time_days), 0) AS avg_resolution_time,
   CAST(count(*) FILTER (status_category = 'Resolved') AS DOUBLE) / count(*) * 100 AS resolution_rate FROM {base} HAVING count(*) > 0"""
-_SLOPE = """SELECT coalesce(greatest(-1.0, least(1.0, round(regr_slope(CAST(%s AS DOUBLE), CAST(i AS DOUBLE)), 9))), 0.0) AS %s
-FROM (SELECT *, row_number() OVER (ORDER BY %s) - 1 AS i FROM %s)"""
-_CREATION_TREND = _SLOPE % ("tickets_created", "creation_trend", "created_date", "daily")
-_RESOLUTION_TREND = _SLOPE % ("tickets_resolved", "resolution_trend", "updated", "resolved_at")
+_SLOPE = """SELECT CASE WHEN s IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, s)) END AS {1} FROM (
+  SELECT round(regr_slope(CAST({0} AS DOUBLE), CAST(i AS DOUBLE)), 9) AS s
+  FROM (SELECT *, row_number() OVER (ORDER BY {2}) - 1 AS i FROM {3}))"""
+_CREATION_TREND = _SLOPE.format("tickets_created", "creation_trend", "created_date", "daily")
+_RESOLUTION_TREND = _SLOPE.format("tickets_resolved", "resolution_trend", "updated", "resolved_at")
 _WEEKLY = "SELECT week_start, count(*) AS tickets_created FROM {base} GROUP BY 1"
 _MONTHLY = "SELECT created_month, count(*) AS tickets_created FROM {base} GROUP BY 1"
 _COUNT = "SELECT %s, count(*) AS n FROM {base} GROUP BY 1"
@@ -396,7 +397,7 @@ def oracle() -> dict[str, str]:
             FROM resolved_at GROUP BY 1""",
         "creation_trend": _CREATION_TREND,
         "resolution_trend": _RESOLUTION_TREND,
-        "event_trend": _SLOPE % ("n", "event_trend", "d", "(SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)"),
+        "event_trend": _SLOPE.format("n", "event_trend", "d", "(SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)"),
         "status_distribution": _COUNT % "status",
         "status_category_distribution": _COUNT % "status_category",
         "status_flow": _FLOW,
