@@ -57,9 +57,13 @@ def upper_bounds(query: tuple, row: int, titles: tuple) -> np.ndarray:
 def best_of_tile(k: int, floor: float, contains_is_one: bool):
     """Scores one tile best bound first and keeps the ``k`` best titles of each query."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        # Plain objects: string columns of a pandas type of their own cannot be sent when empty.
+        return pd.DataFrame(rows, columns=["scope", "q", "score", "age", "key"], dtype=object)
+
     def score(key, queries: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or titles.empty:
-            return pd.DataFrame({"scope": [], "q": [], "score": [], "age": [], "key": []})
+            return frame([])
         titles = titles.sort_values(["age", "key"], ignore_index=True)
         texts, asked = titles["title"].tolist(), queries["q"].tolist()
         t_profiles, q_profiles = profiles(texts), profiles(asked)
@@ -82,6 +86,6 @@ def best_of_tile(k: int, floor: float, contains_is_one: bool):
                 if value >= floor:
                     (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (value, -int(i)))
             out += [(key[0], q, value, int(titles["age"][-i]), titles["key"][-i]) for value, i in best]
-        return pd.DataFrame(out, columns=["scope", "q", "score", "age", "key"])
+        return frame(out)
 
     return score
