@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from conftest import rows
-from trackspan.operators import epics as E
+from trackspan.operators import epics as E, lookup
 
 EPIC = "key string, project string, summary string, created timestamp_ntz"
 T0 = datetime(2024, 1, 1)
@@ -55,6 +55,7 @@ def by_hand(epics, project, title, min_ratio=0.5):
 def test_resolution_against_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(E, "TILE_TITLES", tile)
     monkeypatch.setattr(E, "TILE_QUERIES", max(2, tile // 3))
+    monkeypatch.setattr(lookup, "NEAR", 500 if tile > 100 else 3)
     epics, queries = random_epics(150, 1), random_queries(150, 2)
     got = E.resolve_epics(spark.createDataFrame(queries, "query_id long, project string, title string"), epics_table(spark, *epics))
     found = {r.query_id: (r.epic_key, r.tier) for r in got.collect()}

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pytest
+
 from conftest import rows
-from trackspan.operators import people as P, tickets as T
+from trackspan.operators import lookup, people as P, tickets as T
 
 USER = "pos long, accountId string, displayName string, emailAddress string, active boolean"
 DOMAIN = "d.io"
@@ -51,7 +53,9 @@ def ranked_by_hand(people, query):
     return f"id{min(hits)[1]}" if hits else None
 
 
-def test_ranked_resolution_against_all_matches(spark):
+@pytest.mark.parametrize("near", [500, 2])
+def test_ranked_resolution_against_all_matches(spark, monkeypatch, near):
+    monkeypatch.setattr(lookup, "NEAR", near)
     people, queries = random_people(60, 4), random_queries(80, 5)
     q = spark.createDataFrame(queries, "query_id long, q string")
     got = {r.query_id: r.accountId for r in P.resolve_users_ranked(q, users_table(spark, *people), DOMAIN).collect()}

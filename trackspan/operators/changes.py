@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import values as V
 from ..functions import text as X
 from . import epics as E
-from . import people, sprints
+from . import people
+from .tickets import only_keys
 
 
 def _default(c: str, value: str) -> Column:
@@ -22,8 +23,9 @@ def _default(c: str, value: str) -> Column:
 
 def ticket_project_lookup(requests: DataFrame, tickets: DataFrame, keys: str = "dev_keys") -> DataFrame:
     """The first listed ticket's project overrides the given one."""
-    homes = tickets.select(F.col("key").alias("_first"), F.col("project").alias("_home"))
-    return (requests.withColumn("_first", F.get(keys, F.lit(0))).join(homes, "_first", "left")
+    asked = requests.withColumn("_first", F.get(keys, F.lit(0)))
+    homes = only_keys(tickets, asked, "_first").select(F.col("key").alias("_first"), F.col("project").alias("_home"))
+    return (asked.join(homes, "_first", "left")
             .withColumn("project", F.coalesce("_home", "project")).drop("_first", "_home"))
 
 
@@ -137,7 +139,7 @@ def apply_edits(tickets: DataFrame, edits: DataFrame) -> DataFrame:
     """Edited tickets after all edits in ``seq`` order; empty fields change nothing."""
     fields = ["summary", "description", "priority"]
     latest = edits.groupBy(F.col("ticket_key").alias("key")).agg(*[_last_text(c) for c in fields])
-    current = tickets.select("key", *fields, F.lit(True).alias("_known"))
+    current = only_keys(tickets, latest, "key").select("key", *fields, F.lit(True).alias("_known"))
     joined = latest.join(current, "key", "left")
     nothing = F.coalesce(*["_" + c for c in fields]).isNull()
     error = F.when(F.col("_known").isNull(), "no such ticket").when(nothing, "No fields provided to update")
@@ -151,7 +153,7 @@ def apply_assignments(tickets: DataFrame, assignments: DataFrame, users: DataFra
     per_ticket = resolved.groupBy(F.col("ticket_key").alias("key")).agg(
         F.max(F.when(F.col("assignee_id").isNotNull(), F.struct("seq", "assignee_id")))["assignee_id"].alias("_new"),
         F.max(F.struct("seq", "_user_error"))["_user_error"].alias("_user_error"))
-    current = tickets.select("key", "assignee_id", F.lit(True).alias("_known"))
+    current = only_keys(tickets, per_ticket, "key").select("key", "assignee_id", F.lit(True).alias("_known"))
     joined = per_ticket.join(current, "key", "left")
     error = F.when(F.col("_known").isNull(), "no such ticket").when(
         F.col("_new").isNull(), F.coalesce("_user_error", F.lit("no assignee given")))
@@ -164,7 +166,7 @@ def apply_transitions(tickets: DataFrame, requests: DataFrame, transitions: Data
     """Tickets with their new status, or the moves they offer instead."""
     checked = validate_transition(requests, transitions)
     joined = checked.withColumnRenamed("ticket_key", "key").join(
-        tickets.select("key", F.col("status").alias("old_status"), F.lit(True).alias("_known")), "key", "left")
+        only_keys(tickets, requests, "ticket_key").select("key", F.col("status").alias("old_status"), F.lit(True).alias("_known")), "key", "left")
     error = F.when(F.col("_known").isNull(), "no such ticket").when(
         F.col("transition_id").isNull(), F.concat(F.lit("No transition to '"), "new_status", F.lit("'. Available: "), "available"))
     return _outcome(joined, error).select(

@@ -66,10 +66,11 @@ def _words_tier(asked: DataFrame, titles: DataFrame) -> DataFrame:
     single = query_words.where((F.col("need") == 1) & F.col("epic").isNotNull()).select("project", "q", "epic")
 
     by_rarity = Window.partitionBy("project", "q").orderBy(F.coalesce("n", F.lit(0)), "word")
-    anchors = (query_words.where("need > 1").withColumn("_r", F.row_number().over(by_rarity))
-               .where(F.expr("_r <= size(qw) - need + 1 AND n IS NOT NULL")).select("project", "q", "qw", "need", "word"))
-    several = (anchors.join(title_words, ["project", "word"])
-               .where(F.size(F.array_intersect("qw", "tw")) >= F.col("need")).select("project", "q", "epic"))
+    anchors = stage(query_words.where("need > 1").withColumn("_r", F.row_number().over(by_rarity))
+                    .where(F.expr("_r <= size(qw) - need + 1 AND n IS NOT NULL"))
+                    .select("project", "q", "qw", "need", "word"), "anchors")
+    several = lookup.first_verified(anchors, title_words, ["project", "word"], ["project", "q"], "epic",
+                                    F.size(F.array_intersect("qw", "tw")) >= F.col("need")).withColumnRenamed("hit", "epic")
     return single.unionByName(several).groupBy("project", "q").agg(F.min("epic").alias("epic"))
 
 

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..staging import stage
 
 HEAD = 8
+NEAR = 500
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -75,3 +76,30 @@ def first_contained(texts: DataFrame, text: str, needles: DataFrame, needle: str
     best = stage(needles.groupBy(*scope, needle).agg(F.min(hit).alias(hit)), "needles")
     return (substrings(texts, text, best, needle, scope).join(best, [*scope, needle])
             .groupBy(*by).agg(F.min(hit).alias("hit")))
+
+
+def first_verified(anchors: DataFrame, postings: DataFrame, on: Sequence[str], by: Sequence[str], order: str,
+                   verify: Column) -> DataFrame:
+    """Per ``by``: the smallest ``order`` among the postings of its anchors that pass ``verify``.
+
+    A posting list may be long and shared by many anchors. So the first ``NEAR`` postings of every list are
+    tried first. What they yield is final unless a list was cut before that point, as anything unseen comes
+    after the cut; only what is not final meets the whole lists. ``anchors`` should be staged.
+    """
+    def best(asked: DataFrame, lists: DataFrame) -> DataFrame:
+        return asked.join(lists, list(on)).where(verify).groupBy(*by).agg(F.min(order).alias("hit"))
+
+    if anchors.isEmpty():
+        return best(anchors, postings)
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy(order))
+    near = stage(postings.withColumn("_rank", rank).where(F.col("_rank") <= NEAR), "postings")
+    cuts = near.where(F.col("_rank") == NEAR).select(*on, F.col(order).alias("_cut"))
+    unseen_from = anchors.join(cuts, list(on)).groupBy(*by).agg(F.min("_cut").alias("_cut"))
+    state = stage(anchors.select(*by).distinct().join(best(anchors, near.drop("_rank")), list(by), "left")
+                  .join(unseen_from, list(by), "left"), "state")
+    final = F.col("_cut").isNull() | F.coalesce(F.col("hit") <= F.col("_cut"), F.lit(False))
+    done = state.where(final & F.col("hit").isNotNull()).select(*by, "hit")
+    rest = state.where(~final).select(*by)
+    if rest.isEmpty():
+        return done
+    return done.unionByName(best(anchors.join(rest, list(by), "left_semi"), postings))

@@ -68,12 +68,12 @@ def _ranked_hits(names: DataFrame, texts: DataFrame, domain: str) -> DataFrame:
 
     # Both parts in one name: look up the rarer part, check the other on the matching rows.
     n_first, n_last = (found.select(F.col("needle").alias(side), F.col("n_names").alias("n" + side)) for side in ("_first", "_last"))
-    anchored = (pairs.join(n_first, "_first").join(n_last, "_last").where("n_first > 0 AND n_last > 0")
-                .select("_first", "_last", F.expr("IF(n_first <= n_last, _first, _last)").alias("needle"),
-                        F.expr("IF(n_first <= n_last, _last, _first)").alias("_other")))
-    together = (lookup.occurrences(texts.where("is_name"), "text", anchored, "needle").where(F.expr("instr(text, needle) = start"))
-                .join(anchored, "needle").where(F.expr("contains(name, _other)"))
-                .groupBy("_first", "_last").agg(F.min(_found()).alias("hit")))
+    anchored = stage(pairs.join(n_first, "_first").join(n_last, "_last").where("n_first > 0 AND n_last > 0")
+                     .select("_first", "_last", F.expr("IF(n_first <= n_last, _first, _last)").alias("needle"),
+                             F.expr("IF(n_first <= n_last, _last, _first)").alias("_other")), "anchors")
+    bearers = (lookup.occurrences(texts.where("is_name"), "text", anchored, "needle").where(F.expr("instr(text, needle) = start"))
+               .select("needle", "name", _found().alias("found")))
+    together = lookup.first_verified(anchored, bearers, ["needle"], ["_first", "_last"], "found", F.expr("contains(name, _other)"))
     both = parts.join(together, ["_first", "_last"]).select("nq", F.lit(0).alias("rank"), "hit.*")
 
     return (direct.unionByName(starting).unionByName(both)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from ..staging import stage
 from . import lookup
 
 
@@ -45,10 +46,12 @@ def active_sprint(projects: DataFrame, boards: DataFrame, sprints: DataFrame, ti
         F.bool_or(F.col("type") == "scrum").alias("any_scrum"),
         _first_choice(F.col("type") == "scrum").alias("scrum"),
         _first_choice().alias("any")).select(F.expr("IF(coalesce(any_scrum, false), scrum, any)").alias("s")).scalar()
-    return (keys.join(own, "project", "left").withColumn("_shared", shared)
-            .withColumn("s", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("_shared")))
-            .select("project", F.col("s.id").alias("board_id"), F.col("s.board_name").alias("board_name"),
-                    F.col("s.sprint_id").alias("sprint_id"), F.col("s.sprint_name").alias("sprint_name")))
+    chosen = (keys.join(own, "project", "left").withColumn("_shared", shared)
+              .withColumn("s", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("_shared")))
+              .select("project", F.col("s.id").alias("board_id"), F.col("s.board_name").alias("board_name"),
+                      F.col("s.sprint_id").alias("sprint_id"), F.col("s.sprint_name").alias("sprint_name")))
+    # Staged, because tickets are joined to it: Spark sees its real size and need not shuffle them by project.
+    return stage(chosen, "sprints")
 
 
 def sprint_membership(issues: DataFrame, project_sprints: DataFrame) -> DataFrame:

@@ -53,9 +53,19 @@ def ticket_details(tickets: DataFrame, key: str) -> DataFrame:
     return _details(tickets.where(F.col("key") == key.strip().upper()))
 
 
+def only_keys(tickets: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The tickets that ``keys`` names.
+
+    Cuts the tickets down before an outer join against them: a small key set is broadcast and the tickets are
+    filtered where they lie; a large one shuffles both by ticket key, which the outer join then reuses.
+    """
+    return tickets.join(keys.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+
+
 def ticket_details_batch(tickets: DataFrame, keys: DataFrame) -> DataFrame:
     """Details per requested key; an unknown key keeps its row."""
-    return keys.select(X.norm_upper("key").alias("key")).join(_details(tickets), "key", "left")
+    asked = keys.select(X.norm_upper("key").alias("key"))
+    return asked.join(_details(only_keys(tickets, asked, "key")), "key", "left")
 
 
 def filter_assignee_any(tickets: DataFrame, tokens: DataFrame, users: DataFrame, domain: str, token: str = "q") -> DataFrame:
