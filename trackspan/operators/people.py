@@ -13,8 +13,10 @@ from ..functions import text as X
 from ..staging import stage
 from . import lookup
 
-def _found() -> Column:
-    return F.struct("pos", "accountId")
+
+def _accounts(hits: DataFrame, users: DataFrame, *keys: str) -> DataFrame:
+    """Adds the account at each ``pos``. The lookups carry positions alone, which aggregate by hashing."""
+    return hits.join(users.select("pos", "accountId"), "pos").select(*keys, "accountId")
 
 
 def exclude_bot_users(users: DataFrame) -> DataFrame:
@@ -24,9 +26,9 @@ def exclude_bot_users(users: DataFrame) -> DataFrame:
 def _texts(users: DataFrame) -> DataFrame:
     """Two rows per user: the lower-case name and the lower-case address."""
     name, email = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("displayName", "emailAddress"))
-    return users.select("pos", "accountId", name.alias("name"), F.explode(F.array(
+    return users.select("pos", name.alias("name"), F.explode(F.array(
         F.struct(F.lit(True).alias("is_name"), name.alias("text")),
-        F.struct(F.lit(False).alias("is_name"), email.alias("text")))).alias("_t")).select("pos", "accountId", "name", "_t.*")
+        F.struct(F.lit(False).alias("is_name"), email.alias("text")))).alias("_t")).select("pos", "name", "_t.*")
 
 
 def resolve_users_simple(queries: DataFrame, users: DataFrame, query: str = "q") -> DataFrame:
@@ -34,14 +36,14 @@ def resolve_users_simple(queries: DataFrame, users: DataFrame, query: str = "q")
     needle = F.lower(F.col(query))
     asked = queries.withColumns({"_id": X.is_account_id(query, "tool"), "_needle": needle})
     wanted = asked.where(~F.col("_id") & (F.length("_needle") > 0)).select("_needle").distinct()
-    found = lookup.first_containing(_texts(users), "text", wanted, "_needle", _found())
-    return (asked.join(found, "_needle", "left")
-            .withColumn("accountId", F.when(F.col("_id"), F.col(query)).otherwise(F.col("hit.accountId")))
-            .drop("_needle", "_id", "hit", "n_hits"))
+    first = lookup.first_containing(_texts(users), "text", wanted, "_needle", F.col("pos")).withColumnRenamed("hit", "pos")
+    return (asked.join(_accounts(first, users, "_needle"), "_needle", "left")
+            .withColumn("accountId", F.when(F.col("_id"), F.col(query)).otherwise(F.col("accountId")))
+            .drop("_needle", "_id"))
 
 
 def _ranked_hits(names: DataFrame, texts: DataFrame, domain: str) -> DataFrame:
-    """Per normalised name: the best (candidate, position, account).
+    """Per normalised name: the position of the user found first.
 
     Candidates are tried in order, users in order within one. The two rules that do not depend on the
     candidate (both name parts inside the display name; display name starts with a lone first part) hold
@@ -58,13 +60,13 @@ def _ranked_hits(names: DataFrame, texts: DataFrame, domain: str) -> DataFrame:
               .unionByName(sides.select("needle", F.lit(True).alias("_in_name")))
               .groupBy("needle").agg(F.bool_or("_in_name").alias("_in_name")))
     found = stage(lookup.occurrences(texts, "text", wanted, "needle")
-                  .groupBy("needle").agg(F.min(_found()).alias("hit"), F.count_if("is_name").alias("n_names")), "found")
-    direct = candidates.join(found, "needle").select("nq", "rank", "hit.*")
+                  .groupBy("needle").agg(F.min("pos").alias("pos"), F.count_if("is_name").alias("n_names")), "found")
+    direct = candidates.join(found, "needle").select("nq", "rank", "pos")
 
     # Display names starting with the lone part: prefixes only, so one substring per length.
     prefixed = (lookup.prefixes(texts.where("is_name"), "text", lone, "needle")
-                .groupBy("needle").agg(F.min(_found()).alias("hit")))
-    starting = lone.join(prefixed, "needle").select("nq", F.lit(0).alias("rank"), "hit.*")
+                .groupBy("needle").agg(F.min("pos").alias("pos")))
+    starting = lone.join(prefixed, "needle").select("nq", F.lit(0).alias("rank"), "pos")
 
     # Both parts in one name: look up the rarer part, check the other on the matching rows.
     n_first, n_last = (found.select(F.col("needle").alias(side), F.col("n_names").alias("n" + side)) for side in ("_first", "_last"))
@@ -72,12 +74,12 @@ def _ranked_hits(names: DataFrame, texts: DataFrame, domain: str) -> DataFrame:
                      .select("_first", "_last", F.expr("IF(n_first <= n_last, _first, _last)").alias("needle"),
                              F.expr("IF(n_first <= n_last, _last, _first)").alias("_other")), "anchors")
     bearers = (lookup.occurrences(texts.where("is_name"), "text", anchored, "needle").where(F.expr("instr(text, needle) = start"))
-               .select("needle", "name", _found().alias("found")))
-    together = lookup.first_verified(anchored, bearers, ["needle"], ["_first", "_last"], "found", F.expr("contains(name, _other)"))
-    both = parts.join(together, ["_first", "_last"]).select("nq", F.lit(0).alias("rank"), "hit.*")
+               .select("needle", "name", "pos"))
+    together = lookup.first_verified(anchored, bearers, ["needle"], ["_first", "_last"], "pos", F.expr("contains(name, _other)"))
+    both = parts.join(together, ["_first", "_last"]).select("nq", F.lit(0).alias("rank"), F.col("hit").alias("pos"))
 
     return (direct.unionByName(starting).unionByName(both)
-            .groupBy("nq").agg(F.min(F.struct("rank", "pos", "accountId")).alias("hit")))
+            .groupBy("nq").agg(F.min(F.struct("rank", "pos"))["pos"].alias("pos")))
 
 
 def resolve_users_ranked(queries: DataFrame, users: DataFrame, domain: str, query: str = "q",
@@ -89,9 +91,10 @@ def resolve_users_ranked(queries: DataFrame, users: DataFrame, domain: str, quer
     is_id = X.is_account_id(query, pass_ids) if pass_ids else F.lit(False)
     asked = queries.withColumns({"_id": is_id, "nq": X.norm(query)})
     names = asked.where(~F.col("_id") & (F.col("nq") != "")).select("nq").distinct()
-    return (asked.join(_ranked_hits(names, _texts(users), domain), "nq", "left")
-            .withColumn("accountId", F.when(F.col("_id"), F.col(query)).otherwise(F.col("hit.accountId")))
-            .drop("nq", "_id", "hit"))
+    found = _accounts(_ranked_hits(names, _texts(users), domain), users, "nq")
+    return (asked.join(found, "nq", "left")
+            .withColumn("accountId", F.when(F.col("_id"), F.col(query)).otherwise(F.col("accountId")))
+            .drop("nq", "_id"))
 
 
 def search_users(queries: DataFrame, users: DataFrame, query: str = "q", limit: int = V.SHOWN_USERS) -> DataFrame:
@@ -108,10 +111,10 @@ def search_users(queries: DataFrame, users: DataFrame, query: str = "q", limit:
                .withColumn("find_pos", F.when(F.col("is_name"), F.col("start") - 1).otherwise(-1)))
     totals = matches.groupBy("_needle").agg(F.count(F.lit(1)).alias("_total"))
     order = Window.partitionBy("_needle").orderBy("find_pos", "pos")
-    shown = (matches.select("_needle", "find_pos", "pos", "accountId")
+    shown = (matches.select("_needle", "find_pos", "pos")
              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
     return (asked.join(totals, "_needle").join(shown, "_needle")
-            .join(users.select("pos", "displayName", "emailAddress"), "pos")
+            .join(users.select("pos", "accountId", "displayName", "emailAddress"), "pos")
             .withColumn("overflow", F.greatest(F.col("_total") - limit, F.lit(0)))
             .drop("_needle", "_total"))
 
