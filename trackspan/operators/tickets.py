@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
 from ..functions import text as X
+from ..staging import stage
 from .people import resolve_users_ranked
 
 
@@ -74,7 +75,8 @@ def filter_assignee_any(tickets: DataFrame, tokens: DataFrame, users: DataFrame,
     A token that resolves to nobody is kept as it is.
     """
     resolved = resolve_users_ranked(tokens, users, domain, token, pass_ids="search")
-    wanted = resolved.select(F.coalesce("accountId", F.col(token)).alias("assignee_id"))
+    # Staged, so that Spark broadcasts a short list and does not shuffle the tickets for it.
+    wanted = stage(resolved.select(F.coalesce("accountId", F.col(token)).alias("assignee_id")).distinct(), "accounts")
     return tickets.join(wanted, "assignee_id", "left_semi")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,7 @@ from ..sources.schemas import BOARD, CHAT_TURN, PROJECT, SPRINT, USER
 from ..sources.warehouse import AS_OF, BASE_URL, EMAIL_DOMAIN, Warehouse
 from ..streaming.messages import write_available
 from . import report as RP
-from ..staging import shared_dir
+from ..staging import CHECKPOINT_DIR, shared_dir
 
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,7 +617,9 @@ def reply_rows(w):
 @query
 def message_stream(w):
     """The message filter over the chat history read as a stream."""
-    folder = shared_dir(w.spark) or tempfile.mkdtemp(prefix="trackspan-")
+    folder = shared_dir(w.spark)
+    if folder is None:
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors see")
     run = f"{folder.rstrip('/')}/messages-{uuid.uuid4().hex}"
     turns = w.spark.readStream.schema(CHAT_TURN).option("pathGlobFilter", "conversations.parquet").parquet(w.folder)
     stream = chat.message_events(turns.withColumn("type", F.expr("CASE WHEN role = 'user' THEN 'message' ELSE 'typing' END")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -12,9 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all executors see, as the session names it."""
-    return spark.conf.get(CHECKPOINT_DIR, None) or None
+    """The folder all executors see, as the session names it.
+
+    A local session without the setting, as in tests, has all its executors in one process and gets a
+    temporary folder of its own. On a cluster nothing stands in for the setting.
+    """
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if named or not spark.sparkContext.master.startswith("local"):
+        return named or None
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_FOLDERS[application]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
