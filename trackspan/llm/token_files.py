@@ -30,7 +30,7 @@ from .common import ship, worker_cache
 ship(__name__)
 
 END_ID = 1
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 BATCH_CHARS = 1 << 20
 NULL_ID = -(1 << 63)
 PART = "part long, n_docs long, n_tokens long"
@@ -73,8 +73,14 @@ class WordEncoder:
         self.tokenizer.no_padding()
         largest = max([END_ID, *self.tokenizer.get_vocab(with_added_tokens=True).values()])
         self.dtype = np.dtype("<u2") if largest < 1 << 16 else np.dtype("<u4")
-        self.whole = not self.separable(json.loads(self.tokenizer.to_str()))
+        settings = json.loads(self.tokenizer.to_str())
+        self.whole = not self.separable(settings)
+        suffix = settings["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(largest + 1, bool) if suffix else np.zeros(0, bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def separable(settings: dict) -> bool:
@@ -91,19 +97,70 @@ class WordEncoder:
         plain = not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"])
         return spaces and known and keeps and plain
 
+    def plain(self, piece: str) -> tuple[str, str]:
+        """A piece without the full stops and commas after its last letter, in lower case, and those marks.
+
+        The tokenizer parts letters from marks and lowers letters itself, so the ids are those of both in turn. Case is
+        only changed where that is a letter by letter matter, and special tokens are left alone.
+        """
+        word = piece.rstrip(".,")
+        if word.isascii() and word.isalpha():
+            return word.lower(), piece[len(word):]
+        simple = word.isascii() or max(word, default="") <= "ɏ" and "İ" not in word  # one lower-case letter for each
+        if not simple or not word[-1:].isalpha():
+            word = piece
+        return (word.lower() if simple and "<" not in word else word), piece[len(word):]
+
+    def encode(self, pieces: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Packed ids of pieces. Words of letters alone are given joined by spaces: each ends with a token that ends a word."""
+        words = [p for p in pieces if p.isalpha() and max(p) <= "ɏ" and "İ" not in p] if len(self.ends) else []
+        for first in range(0, len(words), 5000):
+            own = words[first:first + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, dtype=self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(cuts) != len(own):
+                raise ValueError("a word of letters does not end with one token that ends a word")
+            raw = ids.tobytes()
+            yield from ((w, raw[a:b]) for w, a, b in zip(own, [0, *cuts], cuts))
+        others = list(pieces.difference(words))
+        for p, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
+            yield p, np.array(e.ids, dtype=self.dtype).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Puts pieces into the cache; when it is full, what was not used since it last was goes."""
+        if len(self.cache) + len(pieces) > CACHE_PIECES:
+            self.older, self.cache = self.cache, {}
+        cache, older, needed, parts = self.cache, self.older, set(), []
+        for p in pieces:
+            if p in older:
+                cache[p] = older[p]
+                continue
+            word, marks = self.plain(p)
+            if word == p:
+                needed.add(p)
+                continue
+            parts.append((p, word, marks))
+            for x in (word, marks):
+                if x in older:
+                    cache[x] = older[x]
+                elif x not in cache:
+                    needed.add(x)
+        cache.update(self.encode(needed))
+        for p, word, marks in parts:
+            cache[p] = cache[word] + cache[marks]
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
         if self.whole:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        missing = list({p for pieces in split for p in pieces if p not in cache})
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-            missing = list({p for pieces in split for p in pieces})
-        for piece, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            cache[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [b"".join([cache[p] for p in pieces]) for pieces in split]
+        pieces = set().union(*split)
+        missing = pieces.difference(self.cache)
+        if missing:
+            self.learn(missing)
+            if not pieces <= self.cache.keys():  # the generation has changed
+                self.learn(pieces.difference(self.cache))
+        return [b"".join(map(self.cache.__getitem__, own)) for own in split]
 
 
 def encoder(path: str) -> WordEncoder:
