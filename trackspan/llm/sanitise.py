@@ -149,11 +149,9 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, floor: float = GENERALI
         df_t = held.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df_t"))
     else:
         df_t = held.groupBy("term").agg(F.count("*").alias("df_t"))  # combined per task before any shuffle
-    total = docs.where("text IS NOT NULL").agg(F.count("*").cast("double").alias("n"))
-    # One row that is a sum, joined by a constant key.
-    scored = pairs.join(df_t, "term").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    share = F.log(F.col("n") * F.col("df_te") / (F.col("df_t").cast("double") * F.col("df_e"))) / F.log(F.col("n") / F.col("df_e"))
-    scored = scored.where("n > df_e").withColumn("disclosure", share).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    n = F.lit(float(docs.where("text IS NOT NULL").count()))
+    share = F.log(n * F.col("df_te") / (F.col("df_t").cast("double") * F.col("df_e"))) / F.log(n / F.col("df_e"))
+    scored = pairs.join(df_t, "term").where(n > F.col("df_e")).withColumn("disclosure", share).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     return scored.where(F.col("disclosure") >= floor)
 
 
