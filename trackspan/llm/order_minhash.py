@@ -253,9 +253,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     class is null. Rows of one doc_id are one document. An empty table gives an empty result, other columns are not read.
 
     Texts are collapsed to one node per word sequence, so copies cost nothing further. Buckets of equal sketch numbers
-    give pairs in two steps that never list all pairs of a bucket. First each member meets the least member: a group of
-    mutually similar texts is one class after that. Then buckets that still hold several classes are compared in tiles of
-    at most two times ``tile`` members, keeping pairs of different classes that word counts allow; those are aligned too.
+    give pairs in three steps that never list all pairs of a bucket of similar texts. Each node first meets one least
+    member of its buckets, then any two classes that meet do so in one pair: a group of mutually similar texts is one
+    class after that. Buckets that still hold several classes are compared in tiles of at most two times ``tile``
+    members, keeping pairs of different classes that word counts allow; those are aligned too, so no candidate is lost.
     """
     sketched = stage(sketches(docs), "sketches")
     groups = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
@@ -265,12 +266,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     hashes = nodes.select(F.col("doc_id").alias("node"), F.explode("sketch").alias("h"))
     buckets = stage(hashes.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     filled = stage(hashes.join(buckets, "h"), "bucketed")
-    stars = filled.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(verified(stars, nodes, docs, similarity), "links")
+    meetings = stage(filled.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared")), "meetings")
+
+    # Each node with the least member it shares most buckets with: at most one pair per node.
+    best = meetings.groupBy("node").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("low"))).alias("x"))
+    first = stage(best.select((-F.col("x.low")).alias("a"), F.col("node").alias("b")), "first-pairs")
+    links = stage(verified(first, nodes, docs, similarity), "first-links")
+    roots = stage(components(links), "first-roots")
+
+    # Then one pair for any two classes that meet.
+    other = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    met = (meetings.join(roots, "node", "left").join(other, "pivot", "left")
+           .withColumns({"root": F.coalesce("root", "node"), "pivot_root": F.coalesce("pivot_root", "pivot")}).where("root != pivot_root"))
+    met = met.groupBy(F.least("root", "pivot_root"), F.greatest("root", "pivot_root")).agg(
+        F.max(F.struct("shared", (-F.col("pivot")).alias("a"), (-F.col("node")).alias("b"))).alias("x"))
+    second = met.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).join(first, ["a", "b"], "left_anti")
+    second = stage(second, "second-pairs")
+    links = stage(links.union(verified(second, nodes, docs, similarity)), "links")
     roots = stage(components(links), "roots")
 
-    # Buckets that hold several classes, in tiles.
-    classed = stage(filled.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    # Buckets that still hold several classes, in tiles.
+    classed = stage(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
     mixed = stage(classed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("h"), "mixed")
     parts = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -279,7 +295,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
              .select(F.xxhash64("h", F.least("half", "other"), F.greatest("half", "other")).alias("tile"), "node", "root", "half",
                      (F.col("half") == F.col("other")).alias("square")))
     tiles = tiles.join(nodes.select(F.col("doc_id").alias("node"), "bins"), "node")
-    more = stage(map_groups(tiles, "tile", _tile_pairs(similarity), "a long, b long").distinct(), "more-candidates")
+    more = stage(map_groups(tiles, "tile", _tile_pairs(similarity), "a long, b long").distinct()
+                 .join(first.union(second), ["a", "b"], "left_anti"), "more-candidates")
     late = stage(verified(more, nodes, docs, similarity), "more-links")
     final = components(links.union(late))
 
