@@ -23,7 +23,7 @@ ship(__name__)
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 64, 2
-BINS, FULL_BIN = 128, 65_535
+BINS = 512
 TILE = 1000
 CHUNK = 1 << 15
 SKETCH = "doc_id long, key binary, n_words long, bins binary, sketch array<long>"
@@ -84,8 +84,9 @@ def sketch_of(codes: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, key, n_words, bins, sketch`` of every row with words and an id.
 
-    ``key`` is a 128-bit hash of the word sequence, ``bins`` word counts in 128 hashed bins (little-endian uint16), from
-    which a lower bound of the edit distance follows.
+    ``key`` is a 128-bit hash of the word sequence, ``bins`` the number of words (little-endian
+    uint32) and their counts in 512 hashed bins (a byte each, at most 255), from which a lower bound of the edit distance
+    follows.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +102,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ids.append(doc_id)
                 keys.append(key.digest())
                 sizes.append(len(codes))
-                bins.append(np.minimum(np.bincount(codes % BINS, minlength=BINS), FULL_BIN).astype("<u2").tobytes())
+                counts = np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8)
+                bins.append(np.array([len(codes)], "<u4").tobytes() + counts.tobytes())
                 out.append(sketch_of(codes))
             flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([
@@ -169,21 +171,25 @@ def _bound(similarity: float):
             if not batch.num_rows:
                 continue
             x, y = (_counts(batch.column(c).to_pylist()) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(_may_match(x, y, similarity)))
+            yield batch.select([0, 1]).filter(pa.array(_may_match(*x, *y, similarity)))
+
     return run
 
 
-def _counts(packed: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), "<u2").reshape(-1, BINS).astype(np.int32)
+def _counts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 4 + BINS)
+    return np.ascontiguousarray(raw[:, :4]).view("<u4").ravel().astype(np.int64), raw[:, 4:].astype(np.int16)
+
 
+def _may_match(nx, x: np.ndarray, ny, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Words that one text has and the other lacks each take an edit, and so does each word of difference in length.
 
-def _may_match(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    nx, ny = x.sum(axis=-1), y.sum(axis=-1)
-    longest = np.maximum(nx, ny)
-    # A substitution takes one word too many and one too few; what is left over are insertions.
-    least = (np.abs(x - y).sum(axis=-1) + np.abs(nx - ny)) // 2
-    full = np.maximum(x.max(axis=-1), y.max(axis=-1)) >= FULL_BIN  # cut counts tell nothing of the length
-    return full | (least <= ((1 - similarity) * longest + 1e-9).astype(np.int64))
+    Hashing words together, and cutting counts at 255, can only lower what is found.
+    """
+    more = x - y
+    least = np.maximum(np.maximum(more, 0).sum(axis=-1, dtype=np.int64), np.maximum(-more, 0).sum(axis=-1, dtype=np.int64))
+    least = np.maximum(least, np.abs(nx - ny))
+    return least <= ((1 - similarity) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -224,7 +230,7 @@ def _tile_pairs(similarity: float):
     def run(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         ids, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
         halves, square = table.column("half").to_numpy(), table.column("square").to_numpy(zero_copy_only=False)
-        counts = _counts(table.column("bins").to_pylist())
+        sizes, counts = _counts(table.column("bins").to_pylist())
         found_a, found_b = [], []
         for begin, end in zip(bounds[:-1], bounds[1:]):
             for i in range(begin, end - 1):
@@ -233,7 +239,7 @@ def _tile_pairs(similarity: float):
                 live = (roots[others] != roots[i]) & (square[i] | (halves[others] != halves[i]))
                 others = others[live]
                 if len(others):
-                    others = others[_may_match(counts[i][None, :], counts[others], similarity)]
+                    others = others[_may_match(sizes[i], counts[i][None, :], sizes[others], counts[others], similarity)]
                     found_a.append(np.full(len(others), ids[i]))
                     found_b.append(ids[others])
         if not found_a:
