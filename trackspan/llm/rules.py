@@ -31,57 +31,58 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part.cast("double") / F.when(whole > 0, whole), F.lit(0.0))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that describe a text; a null text counts as empty. All are built-in expressions."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(text)
+def statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Numbers that describe a text, from the text (not null), its words and its lines. All are built-in expressions."""
+    n, n_words, n_lines = F.length(text), F.size(words), F.size(lines)
     without = lambda chars: F.length(F.translate(text, chars, ""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.split(text, "\n")
-    n_words, n_lines = F.size(words), F.size(lines)
-    word_chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    repeats = F.aggregate(words, F.struct(F.lit("").alias("last"), F.lit(0).alias("n")),
-                          lambda a, w: F.struct(w.alias("last"), (a["n"] + (a["last"] == w).cast("int")).alias("n")))["n"]
     return {
         "log_chars": F.log1p(n.cast("double")),
         "log_words": F.log1p(n_words.cast("double")),
-        "word_length": _share(word_chars, n_words),
+        "word_length": _share(without(" \t\n\x0b\x0c\r"), n_words),
         "distinct_words": _share(F.size(F.array_distinct(words)), n_words),
-        "repeated_words": _share(repeats, n_words),
+        "repeated_words": _share(F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))), n_words),
         "long_words": _share(F.size(F.filter(words, lambda w: F.length(w) > 20)), n_words),
         "lines_per_word": _share(n_lines, n_words),
         "distinct_lines": _share(F.size(F.array_distinct(lines)), n_lines),
         "letters": _share(letters, n),
-        "capitals": _share(upper, letters),
+        "capitals": _share(F.regexp_count(text, F.lit(r"\p{Lu}")), n),
         "digits": _share(n - without("0123456789"), n),
         "marks": _share(n - without("%#&*$@^~+=<>"), n),
         "bars": _share(n - without("|\t"), n),
         "brackets": _share(n - without("{}[]()\\/_;"), n),
         "exclamations": _share(n - without("!?"), n),
         "stops": _share(n - without(".,:"), n_words),
-        "other_scripts": _share(F.regexp_count(text, F.lit(r"[^\x00-ɏ]")), n),
     }
 
 
-def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``doc_id`` and one column ``stat_<name>`` per statistic; the text is not kept."""
-    stats = statistics(F.col("text"))
-    return docs.select("doc_id", *[c.cast("double").alias(f"stat_{name}") for name, c in stats.items()]), [f"stat_{name}" for name in stats]
+def with_statistics(docs: DataFrame, keep: list[str], only: set[str] | None = None) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """Columns ``keep`` and a column per statistic (or per one of ``only``), their names, and name by statistic.
+
+    A null text counts as empty. explode() keeps words and lines from being made again for each statistic.
+    """
+    body, parts = fresh("stat_text", docs), fresh("stat_parts", docs)
+    rows = docs.select(*[docs[c] for c in keep], F.coalesce("text", F.lit("")).alias(body))
+    words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = rows.withColumn(parts, F.explode(F.array(F.struct(words.alias("words"), F.split(body, "\n").alias("lines")))))
+    own = {f"stat_{n}": c for n, c in statistics(F.col(body), F.col(f"{parts}.words"), F.col(f"{parts}.lines")).items()}
+    names = {n: fresh(n, docs) for n in own if only is None or n in only}
+    return rows.select(*keep, *[own[n].cast("double").alias(names[n]) for n in names]), list(names.values()), names
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, features: list[str], most: int = MOST_LABELLED) -> DataFrame:
-    """At most ``most`` training rows (the ones with the least hash of doc_id), in a fixed order, as one small table.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[DataFrame, list[str]]:
+    """Statistics and ``label`` of at most ``most`` labelled documents, in a fixed order, as one small table.
 
-    Rows held out, labels other than 0 and 1 and labels that contradict each other are not used; a repeated id counts once.
+    The labels with the least hash of doc_id are taken; being that few, they are broadcast, and statistics are made for
+    their documents only. Rows held out, labels other than 0 and 1 and labels that contradict each other are not used; a
+    repeated id counts once.
     """
     own = (labels.where("quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id")
-           .agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other").select("doc_id", F.col("label").cast("double")))
-    least = F.min(F.struct(*features)).alias("s")
-    rows = stats.join(own, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id", *features).limit(2 * most)
-    one = rows.groupBy("doc_id", "label", "place").agg(least).select("doc_id", "label", "place", "s.*")
-    return stage(one.orderBy("place", "doc_id").limit(most).coalesce(1).sortWithinPartitions("place", "doc_id"), "labelled")
+           .agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other AND doc_id IS NOT NULL"))
+    own = stage(own.select("doc_id", F.col("label").cast("double"), F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(most), "labels")
+    rows, features, _ = with_statistics(docs.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"), ["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*features)).alias("s")).join(F.broadcast(own), "doc_id").select("doc_id", "label", "place", "s.*")
+    return stage(rows.coalesce(1).sortWithinPartitions("place", "doc_id"), "labelled"), features
 
 
 Condition = tuple[str, str, float]  # statistic, "<=" or ">", bound
@@ -153,11 +154,14 @@ def fit(sample: DataFrame, features: list[str], trees: int = TREES, depth: int =
     return RuleModel(float(lr.intercept), weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, **options) -> tuple[RuleModel, DataFrame, list[str]]:
-    """The model, and the statistics of all documents as a table read again by :func:`scored`."""
-    stats, features = with_statistics(docs)
-    stats = stage(stats, "statistics")
-    return fit(labelled_sample(stats, labels, features), features, **options), stats, features
+def train(docs: DataFrame, labels: DataFrame, **options) -> RuleModel:
+    return fit(*labelled_sample(docs, labels), **options)
+
+
+def _score(docs: DataFrame, keep: list[str], model: RuleModel) -> tuple[DataFrame, Column]:
+    """``keep`` and the statistics that the model uses, and its score over them."""
+    rows, _, names = with_statistics(docs, keep, {n for rule, _ in model.weights for n, _, _ in rule})
+    return rows, model.renamed(names).score()
 
 
 def scored(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
@@ -165,23 +169,14 @@ def scored(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, **options
 
     Scores come from statistics of the whole text alone. Null and empty texts are scored like any other, by statistics of
     zero; repeated rows are scored each; a null id is scored, never learned from. An empty table gives an empty result; no
-    usable labels give every text 0.5. Other columns are not read.
+    usable labels give every text 0.5. Other columns are not read. Nothing is shuffled but the labelled sample.
     """
-    model, stats, _ = train(docs, labels, **options)
-    score = model.score()
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+    rows, score = _score(docs.select("doc_id", "text"), ["doc_id"], train(docs, labels, **options))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= cutoff).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches the cutoff.
-
-    The expression is evaluated on the rows themselves, so nothing is joined or shuffled.
-    """
-    model, _, _ = train(docs, labels, **options)
-    stats = statistics(F.col("text"))
-    used = {n for rule, _ in model.weights for n, _, _ in rule}
-    put = {f"stat_{name}": c.cast("double") for name, c in stats.items() if f"stat_{name}" in used}
-    clash = {name: fresh(name, docs) for name in put}
-    score = model.renamed(clash).score()
-    return docs.withColumns({clash[n]: c for n, c in put.items()}).where(score >= cutoff).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, all columns as they are, whose score reaches the cutoff. Nothing but the sample is shuffled."""
+    rows, score = _score(docs, docs.columns, train(docs, labels, **options))
+    return rows.where(score >= cutoff).select(*docs.columns)
