@@ -31,43 +31,56 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part.cast("double") / F.when(whole > 0, whole), F.lit(0.0))
 
 
-def statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
-    """Numbers that describe a text, from the text (not null), its words and its lines. All are built-in expressions."""
+def statistics(text: Column, parts: Column) -> dict[str, Column]:
+    """Numbers that describe a text (not null) from it and from its ``parts``. All are built-in expressions.
+
+    Characters other than letters are counted in what is left of the text without letters and most blanks, which is short.
+    """
+    words, lines, others, signs = (parts.getField(f) for f in ("words", "lines", "others", "signs"))
     n, n_words, n_lines = F.length(text), F.size(words), F.size(lines)
-    without = lambda chars: F.length(F.translate(text, chars, ""))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    count = lambda chars: F.length(signs) - F.length(F.translate(signs, chars, ""))
+    letters = n - F.length(others)
     return {
         "log_chars": F.log1p(n.cast("double")),
         "log_words": F.log1p(n_words.cast("double")),
-        "word_length": _share(without(" \t\n\x0b\x0c\r"), n_words),
+        "word_length": _share(letters + F.length(F.translate(signs, "\t", "")), n_words),
         "distinct_words": _share(F.size(F.array_distinct(words)), n_words),
         "repeated_words": _share(F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))), n_words),
         "long_words": _share(F.size(F.filter(words, lambda w: F.length(w) > 20)), n_words),
         "lines_per_word": _share(n_lines, n_words),
         "distinct_lines": _share(F.size(F.array_distinct(lines)), n_lines),
         "letters": _share(letters, n),
-        "capitals": _share(F.regexp_count(text, F.lit(r"\p{Lu}")), n),
-        "digits": _share(n - without("0123456789"), n),
-        "marks": _share(n - without("%#&*$@^~+=<>"), n),
-        "bars": _share(n - without("|\t"), n),
-        "brackets": _share(n - without("{}[]()\\/_;"), n),
-        "exclamations": _share(n - without("!?"), n),
-        "stops": _share(n - without(".,:"), n_words),
+        "capitals": _share(n - F.length(F.regexp_replace(text, r"\p{Lu}+", "")), n),
+        "digits": _share(count("0123456789"), n),
+        "marks": _share(count("%#&*$@^~+=<>"), n),
+        "bars": _share(count("|\t"), n),
+        "brackets": _share(count("{}[]()\\/_;"), n),
+        "exclamations": _share(count("!?"), n),
+        "stops": _share(count(".,:"), n_words),
     }
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` as column ``name``, made once per row: explode() keeps its readers from making it again."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def with_statistics(docs: DataFrame, keep: list[str], only: set[str] | None = None) -> tuple[DataFrame, list[str], dict[str, str]]:
     """Columns ``keep`` and a column per statistic (or per one of ``only``), their names, and name by statistic.
 
-    A null text counts as empty. explode() keeps words and lines from being made again for each statistic.
+    A null text counts as empty. Parts of the text, what is made from them and the statistics are each made once.
     """
-    body, parts = fresh("stat_text", docs), fresh("stat_parts", docs)
+    body, others, parts, found = (fresh(c, docs) for c in ("stat_text", "stat_others", "stat_parts", "stat_found"))
     rows = docs.select(*[docs[c] for c in keep], F.coalesce("text", F.lit("")).alias(body))
+    rows = _once(rows, others, F.regexp_replace(body, r"\p{L}+", ""))
     words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = rows.withColumn(parts, F.explode(F.array(F.struct(words.alias("words"), F.split(body, "\n").alias("lines")))))
-    own = {f"stat_{n}": c for n, c in statistics(F.col(body), F.col(f"{parts}.words"), F.col(f"{parts}.lines")).items()}
+    rows = _once(rows, parts, F.struct(words.alias("words"), F.split(body, "\n").alias("lines"), F.col(others).alias("others"),
+                                       F.regexp_replace(others, r"[\x20\x0A-\x0D]+", "").alias("signs")))
+    own = {f"stat_{n}": c for n, c in statistics(F.col(body), F.col(parts)).items()}
     names = {n: fresh(n, docs) for n in own if only is None or n in only}
-    return rows.select(*keep, *[own[n].cast("double").alias(names[n]) for n in names]), list(names.values()), names
+    if names:
+        rows = _once(rows, found, F.struct(*[own[n].cast("double").alias(n) for n in names]))
+    return rows.select(*keep, *[F.col(found).getField(n).alias(names[n]) for n in names]), list(names.values()), names
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[DataFrame, list[str]]:
