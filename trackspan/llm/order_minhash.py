@@ -192,16 +192,20 @@ def _may_match(nx, x: np.ndarray, ny, y: np.ndarray, similarity: float) -> np.nd
     return least <= ((1 - similarity) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``a, b`` of node ids whose texts are similar, by banded alignment.
-
-    Pairs that counts of words rule out go first; of the others, the texts of the nodes involved are cut from the
-    documents once and staged, then joined to the pairs.
-    """
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs ``a, b`` of node ids that lengths and counts of words allow, as a staged table."""
     counts = nodes.select("doc_id", "bins")
     near = (pairs.join(counts.withColumnsRenamed({"doc_id": "a", "bins": "x"}), "a")
             .join(counts.withColumnsRenamed({"doc_id": "b", "bins": "y"}), "b").select("a", "b", "x", "y"))
-    near = stage(near.mapInArrow(_bound(similarity), "a long, b long"), "candidates")
+    return stage(near.mapInArrow(_bound(similarity), "a long, b long"), "candidates")
+
+
+def verified(near: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs ``a, b`` of node ids whose texts are similar, by banded alignment.
+
+    The texts of the nodes involved are cut from the documents once and staged, then joined to the pairs, which are read
+    more than once.
+    """
     wanted = stage(near.select("a").union(near.select("b")).distinct().select(F.col("a").alias("node")), "wanted")
     own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
     # Rows of one id should be one text; if they are not, the least text stands for the id.
@@ -277,7 +281,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     # Each node with the least member it shares most buckets with: at most one pair per node.
     best = meetings.groupBy("node").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("low"))).alias("x"))
     first = stage(best.select((-F.col("x.low")).alias("a"), F.col("node").alias("b")), "first-pairs")
-    links = stage(verified(first, nodes, docs, similarity), "first-links")
+    links = stage(verified(possible(first, nodes, similarity), docs, similarity), "first-links")
     roots = stage(components(links), "first-roots")
 
     # Then one pair for any two classes that meet.
@@ -288,7 +292,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
         F.max(F.struct("shared", (-F.col("pivot")).alias("a"), (-F.col("node")).alias("b"))).alias("x"))
     second = met.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).join(first, ["a", "b"], "left_anti")
     second = stage(second, "second-pairs")
-    links = stage(links.union(verified(second, nodes, docs, similarity)), "links")
+    links = stage(links.union(verified(possible(second, nodes, similarity), docs, similarity)), "links")
     roots = stage(components(links), "roots")
 
     # Buckets that still hold several classes, in tiles.
@@ -303,7 +307,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     tiles = tiles.join(nodes.select(F.col("doc_id").alias("node"), "bins"), "node")
     more = stage(map_groups(tiles, "tile", _tile_pairs(similarity), "a long, b long").distinct()
                  .join(first.union(second), ["a", "b"], "left_anti"), "more-candidates")
-    late = stage(verified(more, nodes, docs, similarity), "more-links")
+    late = stage(verified(more, docs, similarity), "more-links")
     final = components(links.union(late))
 
     classes = members.join(final, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
