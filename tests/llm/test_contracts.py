@@ -275,6 +275,19 @@ def test_sanitise_disclosing_terms(spark, edge, empty):
     assert sanitise.sanitise(empty).count() == 0
 
 
+def test_sanitise_protects_entities_seen_once(spark):
+    """Each kind in one text each, an entity of two texts, and common words beside them that stay."""
+    once = ["the note of Quagfire goes to jane@example.org the end", "the note of Brindlemoor goes to 10.20.30.40 the end",
+            "the note of Vexley goes to 4111 1111 1111 1111 the end", "the note of Thrumble goes to +49 30 1234567 the end"]
+    twice = [f"the note {i} of Oskarven goes to both@example.net the end" for i in range(2)]
+    plain = [f"the note {i} of w{i} goes to nobody the end" for i in range(400)]
+    got = {r.doc_id: r for r in sanitise.sanitise(docs_of(spark, once + twice + plain + plain[:1])).collect()}
+    for i, word in enumerate(["Quagfire", "Brindlemoor", "Vexley", "Thrumble", "Oskarven", "Oskarven"]):
+        assert word not in got[i].sanitised and got[i].spans.count("term") == 1, got[i]
+        assert got[i].sanitised.startswith("the note") and got[i].sanitised.endswith("the end") and "[NAME] goes to [" in got[i].sanitised
+    assert all(got[i].spans == "" and got[i].sanitised == plain[i - 6] for i in range(6, 406))
+
+
 # -- mixing ---------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 Patterns find protected entities. How strongly a term reveals an entity is its pointwise mutual information with it in the
 corpus over the information of the entity: 1 if the term occurs beside that entity only. Terms that disclose more than a
-threshold are generalised or removed together with the entities.
+threshold are generalised or removed together with the entities. The mutual information is lowered by what so few texts
+leave uncertain, so that entities of a single text are protected too, by weaker terms.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ ship(__name__)
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 8
 GENERALISE, REMOVE = 0.85, 0.95
-SUPPORT = 3
 MOST_BROADCAST = 200_000
 SPANS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -125,15 +125,19 @@ def _scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["text_key", "entity", "terms"])
 
 
-def disclosures(docs: DataFrame, support: int = SUPPORT, floor: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, floor: float = GENERALISE) -> DataFrame:
     """``term, disclosure``: terms that reveal some entity at ``floor`` or more.
 
     With N rows of text, df(e) rows that hold an entity, df(t) rows that hold a term and df(t, e) rows where the term is
-    within eight words of the entity, disclosure = log(N df(t, e) / (df(t) df(e))) / log(N / df(e)). Only pairs seen in
-    ``support`` different texts count, so neither a rare word nor copies of one text make a term.
+    within eight words of the entity, in n different texts, disclosure =
+    log(N df(t, e) / (df(t) df(e)) n / (n + 1)) / log(N / df(e)). The factor n / (n + 1) is the rule of succession: the term
+    counts as if one further text held it without the entity. So a term beside an entity of one text loses log 2, which
+    a corpus of about a hundred rows makes up for, and one seen in many texts next to nothing; copies of a text add nothing
+    to n, and no number of texts is asked for.
 
     Entities and contexts are few, so pairs are summed before they are shuffled. Terms are counted over the whole corpus;
-    only those that pass the support are, and counts are combined before the shuffle.
+    only those beside an entity are, and counts are combined before the shuffle. Pairs of a term with equal counts score
+    alike and are scored once, so a word beside very many entities is a few rows.
     """
     seen = docs.where("text IS NOT NULL").select("text").mapInArrow(_scanned, "text_key long, entity string, terms array<string>")
     seen = stage(seen, "entities")
@@ -141,8 +145,8 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, floor: float = GENERALI
     pairs = seen.select("entity", F.explode("terms").alias("term"), "text_key")
     # The sum over copies of a text first, then over different texts.
     pairs = pairs.groupBy("entity", "term", "text_key").agg(F.count("*").alias("rows"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("df_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    pairs = stage(pairs.join(entities, "entity"), "pairs")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("df_te"), F.count("*").alias("texts"))
+    pairs = stage(pairs.join(entities, "entity").groupBy("term", "df_te", "texts", "df_e").agg(F.count("*").alias("alike")), "pairs")
     terms = stage(pairs.select("term").distinct(), "terms")
     held = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(word_array(F.col("text")))).alias("term"))
     if terms.count() <= MOST_BROADCAST:
@@ -150,7 +154,8 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, floor: float = GENERALI
     else:
         df_t = held.groupBy("term").agg(F.count("*").alias("df_t"))  # combined per task before any shuffle
     n = F.lit(float(docs.where("text IS NOT NULL").count()))
-    share = F.log(n * F.col("df_te") / (F.col("df_t").cast("double") * F.col("df_e"))) / F.log(n / F.col("df_e"))
+    lowered = F.col("df_te") * F.col("texts") / (F.col("texts") + 1)
+    share = F.log(n * lowered / (F.col("df_t").cast("double") * F.col("df_e"))) / F.log(n / F.col("df_e"))
     scored = pairs.join(df_t, "term").where(n > F.col("df_e")).withColumn("disclosure", share).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     return scored.where(F.col("disclosure") >= floor)
 
@@ -202,20 +207,20 @@ def _apply(actions_of, with_text: bool):
     return run
 
 
-def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, with_text: bool = True,
+def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, with_text: bool = True,
              most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised`` for every row of ``doc_id, text``.
 
     Spans are ``kind:start:end`` in code points, base spans by kind and start, then those of terms outside them. The
     sanitised text has base spans masked by kind, terms of a disclosure of ``remove`` or more removed and those of
     ``generalise`` or more replaced by their shape. Null and empty texts have no spans, a null text stays null; repeated
-    rows give a row each (their copies add no support); an empty table gives an empty result; other columns are not read.
+    rows give a row each (their copies make no term more certain); an empty table gives an empty result; other columns are not read.
 
     The terms found are sent to the executors if there are at most ``most_broadcast`` of them; any larger number is joined
     to the words of the documents instead.
     """
     spark = docs.sparkSession
-    found = stage(disclosures(docs, support, generalise).select("term", (F.col("disclosure") >= remove).alias("gone")), "disclosing")
+    found = stage(disclosures(docs, generalise).select("term", (F.col("disclosure") >= remove).alias("gone")), "disclosing")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {SPANS}, sanitised string"
     if found.count() <= most_broadcast:
