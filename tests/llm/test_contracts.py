@@ -6,6 +6,7 @@ import os
 import random
 import re
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -156,6 +157,29 @@ def test_licenses(spark, edge, empty):
     assert "Python" not in licenses.scan_licenses(edge)._jdf.queryExecution().toString()
 
 
+def test_licenses_of_several_paragraphs(spark):
+    """Standard texts in their usual paragraphs, between prose and in comments; each is lost to lines and paragraphs alone."""
+    cuts = {"MIT": ["The above copyright notice and", "THE SOFTWARE IS"], "ISC": ["THE SOFTWARE IS"],
+            "BSD-2-Clause": ["1. Redis", "2. Redis", "THIS SOFTWARE IS"], "BSD-3-Clause": ["1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE IS"]}
+    rnd, texts, want = random.Random(11), [], []
+    for name, marks in cuts.items():
+        text = " ".join(licenses.ALL_TEMPLATES[name].split())
+        for mark in marks:
+            assert mark in text
+            text = text.replace(mark, "\n\n" + mark)
+        prose = ["\n\n".join(" ".join(f"p{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(5)) for _ in range(2)]
+        comment = "\n".join(f"# {line}".rstrip() for part in text.split("\n\n") for line in [*textwrap.wrap(part, 70), ""])
+        texts += [f"{prose[0]}\n\nLicense\n\n{text}\n\n{prose[1]}", f"{prose[0]}\n\nCopyright (c) 2020 X\n\n{text}", f"{comment}\n\nimport os\n\n{prose[1]}"]
+        want += [name] * 3
+    texts.append(prose[0] + "\n\n" + prose[1])
+    docs = docs_of(spark, texts)
+    best = {r.doc_id: (r.license, r.dice) for r in licenses.best_licenses(docs).collect()}
+    assert [best[i][0] for i in range(len(want))] == want and set(best) == set(range(len(want)))
+    assert all(dice > 0.94 for _, dice in best.values()), best  # a line of the BSD-2-Clause template begins like an owner line and is left out
+    found = licenses.scan_licenses(docs)
+    assert all(r.n_units == 1 for r in found.collect()) and "Python" not in found._jdf.queryExecution().toString()
+
+
 # -- decontamination ------------------------------------------------------------------------------------
 
 

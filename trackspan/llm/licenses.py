@@ -1,7 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Built-in expressions only. A text is looked at as a whole, by paragraphs and by lines, so a notice is found at the end of
-prose as well as in a file of its own.
+Built-in expressions only. A text is looked at as a whole, by paragraphs, by lines and by runs of adjacent paragraphs, so a
+notice or a licence of several paragraphs is found between prose or code as well as in a file of its own.
 """
 
 from __future__ import annotations
@@ -62,9 +62,27 @@ was not distributed with this file, You can obtain one at https://mozilla.org/MP
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+# Texts the SQL does not know.
+MORE_TEMPLATES = {
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3.
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+}
+ALL_TEMPLATES = TEMPLATES | MORE_TEMPLATES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OWNER_LINE = r"(^|\n)[ \t]*(?:[Cc]opyright|COPYRIGHT|©)[^\n]*"
 BLANK_LINES = r"\n[ \t\r\n]*\n"
+WORDLESS_LINES = r"\n[^A-Za-z0-9]*\n"
 
 
 def template_grams(text: str) -> list[str]:
@@ -82,16 +100,45 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _bigrams(words: Column) -> Column:
+    return F.array_compact(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _runs(paragraphs: Column, start: Column, every: list[str], most: Column) -> Column:
+    """``known, n`` of the runs of paragraphs from ``start`` on: their bigrams of any template, and the number of all.
+
+    A run ends before it has more than ``most`` bigrams. One whose last paragraph adds no known bigram scores no better
+    than the run without it and is not listed, so a run is listed for each known bigram at most.
+    """
+    texts = lambda: F.array().cast("array<string>")
+    runs = F.array().cast("array<struct<known:array<string>,n:int>>")
+    begin = F.struct(texts().alias("last"), texts().alias("grams"), texts().alias("known"), runs.alias("runs"), F.lit(True).alias("open"))
+
+    def put(acc: Column, words: Column) -> Column:
+        own = _bigrams(F.concat(acc["last"], words))
+        grams = F.array_union(acc["grams"], own)
+        known = F.array_union(acc["known"], F.filter(own, lambda p: p.isin(every)))
+        is_open = F.size(grams) <= most
+        adds = is_open & (F.size(known) > F.size(acc["known"]))
+        listed = F.when(adds, F.concat(acc["runs"], F.array(F.struct(known.alias("known"), F.size(grams).alias("n"))))).otherwise(acc["runs"])
+        return F.when(acc["open"], F.struct(F.slice(words, -1, 1).alias("last"), grams.alias("grams"), known.alias("known"),
+                                            listed.alias("runs"), is_open.alias("open"))).otherwise(acc)
+
+    return F.aggregate(F.slice(paragraphs, start, F.size(paragraphs)), begin, put, lambda acc: acc["runs"])
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, license, dice, n_units`` per document and template it matches: the best coefficient among its whole text,
-    paragraphs and lines, and how many different ones match.
+    paragraphs, lines and runs of adjacent paragraphs, and how many different ones of the first three match; 1 where only
+    runs do. Paragraphs of a run are parted by lines without letters a-z and digits, such as empty lines of a comment.
 
     Letters other than ASCII a-z and digits part words, lines that name a copyright owner are left out, and bigrams count
     once. Null and empty texts, and those of one word, match nothing; rows of one id (null included) count together; an
     empty table gives an empty result; other columns are not read. A template without bigrams is refused.
 
     A unit is first cut to the bigrams that any template has (one hash lookup each). Fewer than the smallest template
-    asks for end it there, which is nearly always; then its number of bigrams picks the templates of fitting size.
+    asks for end it there, which is nearly always; then its number of bigrams picks the templates of fitting size. Runs are made only of texts that
+    hold enough bigrams of one template as a whole, up to the largest size that any such template allows.
     """
     grams = {name: template_grams(text) for name, text in templates.items()}
     if not all(grams.values()):
@@ -106,7 +153,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     units = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, BLANK_LINES), F.array(body)))
     # Every explode() also keeps what it makes from being computed again for each use.
     rows = docs.select("doc_id", F.explode(F.transform(units, _words)).alias("words")).where(F.size("words") > fewest)
-    pairs = F.array_compact(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    pairs = _bigrams(F.col("words"))
     rows = rows.select("doc_id", F.explode(F.array(pairs)).alias("pairs"))
     rows = rows.select("doc_id", "pairs", F.explode(F.array(F.array_distinct(F.filter("pairs", lambda p: p.isin(every))))).alias("known"))
     rows = rows.where(F.size("known") >= fewest)
@@ -114,13 +161,38 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     listed = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("grams"), F.lit(len(own)).alias("size"),
                                 F.lit(bounds[name][0]).alias("low"), F.lit(bounds[name][1]).alias("high")) for name, own in grams.items()])
     fitting = F.filter(listed, lambda t: (F.col("n") >= t["low"]) & (F.col("n") <= t["high"]) & (F.size("known") >= t["low"]))
-    rows = rows.select("doc_id", "known", "n", F.explode(fitting).alias("t"))
+    rows = rows.select("doc_id", "known", "n", F.lit(1).alias("unit"))
+
+    # Runs: of texts of several paragraphs only, from the paragraphs that hold or begin a known bigram.
+    parted = docs.select("doc_id", F.explode(F.array(body)).alias("body")).where(F.col("body").rlike(WORDLESS_LINES))
+    parted = parted.select("doc_id", F.explode(F.array(F.filter(F.transform(F.split("body", WORDLESS_LINES), _words), lambda w: F.size(w) > 0))).alias("paragraphs"))
+    parted = parted.where(F.size("paragraphs") > 1)
+    whole = F.array_distinct(F.filter(_bigrams(F.flatten("paragraphs")), lambda p: p.isin(every)))
+    parted = parted.select("doc_id", "paragraphs", F.explode(F.array(whole)).alias("known")).where(F.size("known") >= fewest)
+    reached = F.filter(listed, lambda t: F.size(F.array_intersect("known", t["grams"])) >= t["low"])
+    most = F.array_max(F.transform(reached, lambda t: t["high"]))
+    parted = parted.select("doc_id", "paragraphs", F.explode(F.array(most)).alias("most")).where(F.col("most").isNotNull())
+    parted = parted.select("doc_id", "paragraphs", "most", F.explode(F.sequence(F.lit(1), F.size("paragraphs"))).alias("start"))
+    first = F.flatten(F.slice("paragraphs", F.col("start"), 2))
+    first = F.slice(first, 1, F.size(F.element_at("paragraphs", F.col("start"))) + 1)
+    parted = parted.where(F.exists(_bigrams(first), lambda p: p.isin(every)))
+    runs = parted.select("doc_id", F.explode(_runs(F.col("paragraphs"), F.col("start"), every, F.col("most"))).alias("run"))
+    runs = runs.select("doc_id", "run.known", "run.n", F.lit(0).alias("unit")).where(F.size("known") >= fewest)
+
+    rows = rows.union(runs).select("doc_id", "known", "n", "unit", F.explode(fitting).alias("t"))
     dice = 2.0 * F.size(F.array_intersect("known", "t.grams")) / (F.col("n") + F.col("t.size"))
-    rows = rows.select("doc_id", F.col("t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= threshold)
-    return rows.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
+    rows = rows.select("doc_id", F.col("t.license").alias("license"), dice.alias("dice"), "unit").where(F.col("dice") >= threshold)
+    units = F.greatest(F.sum("unit"), F.lit(1)).cast("long")
+    return rows.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), units.alias("n_units"))
+
+
+def best_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, license, dice``: per document the licence of the best coefficient, of equal ones the first by name."""
+    found = scan_licenses(docs, templates, threshold).groupBy("doc_id").agg(F.min(F.struct((-F.col("dice")).alias("low"), "license")).alias("x"))
+    return found.select("doc_id", "x.license", (-F.col("x.low")).alias("dice"))
 
 
-def without_licenses(docs: DataFrame, licenses: list[str], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def without_licenses(docs: DataFrame, licenses: list[str], templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose id matches none of the named templates; null ids stay."""
     key = fresh("licensed_id", docs)
     found = scan_licenses(docs, {n: templates[n] for n in licenses}, threshold).select(F.col("doc_id").alias(key)).distinct()
