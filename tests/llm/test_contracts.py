@@ -121,6 +121,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Every pair of short texts at the threshold meets: each text below has one edit, or few, and no other text near it."""
+    rnd, texts, partner = random.Random(5), [], []
+    for n in list(range(4, 16)) * 8:
+        limit = max(x - n for x in range(n, 16) if x - n <= order_minhash.distance_limit(x, 0.8)) if n % 2 else 0
+        own = [f"s{rnd.randrange(10**9)}" for _ in range(n)]
+        other = list(own)
+        if limit:
+            for _ in range(limit):
+                other.insert(rnd.randrange(len(other) + 1), f"s{rnd.randrange(10**9)}")
+        else:
+            for at in rnd.sample(range(n), order_minhash.distance_limit(n, 0.8)):
+                other[at] = f"s{rnd.randrange(10**9)}"
+        partner += [len(texts), len(texts)]
+        texts += [" ".join(own), " ".join(other)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == partner
+
+
 def test_near_duplicates_edges(edge, empty):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.class_size) for r in order_minhash.near_duplicates(edge).collect())
     assert got == [(-1, None, 1), (0, 0, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 4), (4, 4, 4), (4, 4, 4), (5, 4, 4), (6, 6, 1), (7, 7, 1), (99, 99, 1)]

@@ -2,12 +2,14 @@
 
 Similarity of two texts is one minus the edit distance of their word sequences over the longer length. Order MinHash
 samples, per hash function, the ``PICKED`` k-mers of five words with the least hash, each labelled by its occurrence, and
-keeps them in text order; texts that agree in one such tuple are candidates.
+keeps them in text order; texts that agree in one such tuple are candidates. Texts of up to ``EXACT`` words are also keyed by
+what is left of them after few deletions, which misses no similar pair of such texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +25,7 @@ ship(__name__)
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 64, 2
+EXACT = 15
 BINS = 512
 TILE = 1000
 CHUNK = 1 << 15
@@ -81,12 +84,30 @@ def sketch_of(codes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def deletions(codes: np.ndarray, similarity: float) -> np.ndarray:
+    """One 64-bit number per way to delete words, none included, as many as a similar text may differ by.
+
+    Two texts at edit distance d are equal after at most d deletions in each. The longer of two similar texts has at most
+    n / similarity words, which bounds d.
+    """
+    n = len(codes)
+    most = min(n, distance_limit(int(n / similarity + 1e-9), similarity)) if similarity > 0 else n
+    out = []
+    for left in range(max(n - most, 1), n + 1):
+        chosen = np.array(list(itertools.combinations(range(n), left)), np.int64)
+        h = np.full(len(chosen), left + 1, np.uint64)
+        for column in chosen.T:
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + codes[column].astype(np.uint64))
+        out.append(h)
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, key, n_words, bins, sketch`` of every row with words and an id.
 
     ``key`` is a 128-bit hash of the word sequence, ``bins`` the number of words (little-endian
     uint32) and their counts in 512 hashed bins (a byte each, at most 255), from which a lower bound of the edit distance
-    follows.
+    follows. ``sketch`` has the sketch numbers and, for texts of up to ``EXACT`` words, those of :func:`deletions`.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +126,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 counts = np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8)
                 bins.append(np.array([len(codes)], "<u4").tobytes() + counts.tobytes())
                 out.append(sketch_of(codes))
+                if len(codes) <= EXACT:
+                    out[-1] = np.concatenate([out[-1], deletions(codes, similarity)])
+            ends = np.cumsum([0, *map(len, out)])
             flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES), pa.int32()), flat)],
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
                 names=["doc_id", "key", "n_words", "bins", "sketch"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -268,7 +292,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     class after that. Buckets that still hold several classes are compared in tiles of at most two times ``tile``
     members, keeping pairs of different classes that word counts allow; those are aligned too, so no candidate is lost.
     """
-    sketched = stage(sketches(docs), "sketches")
+    sketched = stage(sketches(docs, similarity), "sketches")
     groups = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     members = sketched.select("key", "doc_id").join(groups, "key").select("doc_id", "node").distinct()
     nodes = sketched.join(groups, "key").where("doc_id = node").select("doc_id", "bins", "sketch")
