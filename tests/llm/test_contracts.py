@@ -371,6 +371,14 @@ def test_collapse(spark):
     assert snapshots.collapse_and_render(frame.limit(0)).count() == 0
 
 
+def test_collapse_orders_ties_by_the_whole_text(spark):
+    """Turns of one number that share a long start, in many pairs so that no hash orders all of them by chance."""
+    start = "s" * 80
+    turns = [(c, 0, "user", start + x) for c in range(12) for x in (f"b{c}", f"a{c}", f"c{c}")]
+    got = {r.conv_id: r.text for r in snapshots.collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert got == {c: "".join(f"<|im_start|>user\n{start}{x}{c}<|im_end|>\n" for x in "abc") for c in range(12)}
+
+
 # -- tokens ---------------------------------------------------------------------------------------------
 
 ODD = ["<|endoftext|>", "x<|ENDOFTEXT|> <|endoftext|>.", "It's THE'RE, don't. İstanbul, ΣΑΣ Σ. é́ ́a", "a\tb c  d\r\n", " ", "a ", " a", "a   ", "▁a ▁ b▁ c", "日本語。テスト, x", "</s><s>"]

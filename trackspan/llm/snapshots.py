@@ -33,13 +33,11 @@ def _running(rows: DataFrame, values: list[str]) -> DataFrame:
 def _ordered(turns: DataFrame) -> DataFrame:
     """The turns with ``row``, a number that ascends by conversation and turn over range partitions.
 
-    Turns of one number follow by role, start of text and hash; rows that are wholly equal may part anywhere, so neither
-    a long conversation nor a repeated row fills a partition.
+    Turns of one number follow by role and whole text; rows that are wholly equal may part anywhere, so neither a long conversation nor a repeated row fills a partition.
     """
-    keys = ["conv_id", "turn", "role", "head", "spread", "place"]
+    keys = ["conv_id", "turn", "role", "text", "place"]
     rows = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
-    rows = (rows.withColumn("head", F.substring("text", 1, 64)).withColumn("spread", F.xxhash64("text"))
-            .withColumn("place", F.monotonically_increasing_id()))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return stage(rows.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("row")), "turns")
 
