@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, order_minhash, pareto, rotation_codes, rules, sanitise, snapshots, token_counts, token_files
+from . import (decontaminate, licenses, order_minhash, pareto, rotation_codes, rules, sanitise, snapshots, source_divergence, spelling,
+               token_counts, token_files)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +82,16 @@ def op10_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_path(PIECE_TOKENIZER))
 
 
+@query
+def op12_source_divergence(spark, folder):
+    return source_divergence.divergence(table(spark, folder, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 OP3_SQL = r"""
 WITH items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 wins AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1:i + least(10, len(w))], ' ') AS win
@@ -117,4 +128,6 @@ ORACLE: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op7_pareto_mix": OP7_SQL,
     "op8_collapse_chats": snapshots.ORACLE,
+    "op12_source_divergence": source_divergence.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
