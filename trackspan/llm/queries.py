@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, licenses, order_minhash, pareto, rotation_codes, rules, sanitise, snapshots, source_divergence, spelling,
-               token_counts, token_files)
+               token_counts, token_files, toxic_segments)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,11 @@ def op10_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_path(PIECE_TOKENIZER))
 
 
+@query
+def op11_toxic_segments(spark, folder):
+    return toxic_segments.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op12_source_divergence(spark, folder):
     return source_divergence.divergence(table(spark, folder, "documents"))
