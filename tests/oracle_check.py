@@ -43,8 +43,9 @@ def compare(spark, con, name, fn, sql, folder) -> str | None:
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        in_got, in_want = set(got), set(want)
+        only_got = [r for r in got if r not in in_want][:3]
+        only_want = [r for r in want if r not in in_got][:3]
         return f"{len(got)} vs {len(want)} rows\n   spark only: {only_got}\n   sql only:   {only_want}"
     kinds = dict(zip(names, [str(d[1]) for d in cur.description]))
     same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import metrics as M, text as X
 from ..functions.ratio import title_ratio
-from ..operators import aggregates as A, changes as C, chat, epics as E, people as P, rankings as R, sprints as S, tickets as T
+from ..operators import aggregates as A, changes as C, chat, epics as E, people as P, rankings as R, sprints as S, tickets as T, workflow as WF
 from ..operators.enrich import enrich
-from ..sources import pages
-from ..sources.schemas import BOARD, CHAT_TURN, PROJECT, SPRINT, USER
+from ..sources import pages, paging
+from ..sources.schemas import BOARD, CHAT_TURN, PAGE, PROJECT, SPRINT, USER, USER_PAGE
 from ..sources.warehouse import AS_OF, BASE_URL, EMAIL_DOMAIN, Warehouse
 from ..streaming.messages import write_available
 from . import report as RP
@@ -74,6 +74,29 @@ def read_sprints(w):
     return pages.parse_json(w.sprints_json(), "value", SPRINT)
 
 
+@query
+def users_of_pages(w):
+    return pages.flatten_users(pages.ordered_users(pages.parse_json(w.user_pages_json(), "value", USER_PAGE)))
+
+
+@query
+def resolve_users_of_pages(w):
+    """Names looked up among users read from pages, whose position is that of the record in the export."""
+    return P.resolve_users_ranked(w.user_queries(), users_of_pages(w), EMAIL_DOMAIN)
+
+
+@query
+def issues_of_pages(w):
+    flat = pages.flatten_issues(pages.ordered_issues(pages.parse_json(w.chained_issue_pages_json(), "value", PAGE)))
+    return flat.select("pos", "key", "status", "assignee")
+
+
+@query
+def page_problems(w):
+    linked = paging.token_pages(pages.parse_json(w.broken_issue_pages_json(), "value", PAGE), "issues", F.col("export"))
+    return paging.page_places(linked)[1]
+
+
 @query
 def parse_activities(w):
     a = pages.parse_activities(w.activities_json())
@@ -603,6 +626,16 @@ def apply_transitions(w):
     return C.apply_transitions(w.tickets(), w.status_requests(), w.transitions())
 
 
+@query
+def transition_history(w):
+    return WF.transition_history(w.tickets(), w.status_histories(), w.workflows())
+
+
+@query
+def apply_transitions_in_order(w):
+    return WF.apply_transitions_in_order(w.tickets(), w.status_histories(), w.workflows())
+
+
 @query
 def reply_rows(w):
     messages = chat.message_events(pages.parse_activities(w.activities_json()))

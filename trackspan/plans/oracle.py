@@ -128,6 +128,28 @@ SELECT ticket_key, '21', 'Done', 1 FROM order_keys UNION ALL
 SELECT ticket_key, '31', 'Hand to ' || split_part(ticket_key, '-', 1), 2 FROM order_keys""",
     "status_requests": """
 SELECT ticket_key, CASE o_orderkey % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'in progress' ELSE 'Nope' END AS new_status FROM order_keys""",
+    "status_histories": """
+SELECT ticket_key, l_linenumber * 1000000 + l_partkey AS seq, CASE l_partkey % 6 WHEN 0 THEN 'Start' WHEN 1 THEN 'finish' WHEN 2 THEN 'Reopen' WHEN 3 THEN 'block'
+  WHEN 4 THEN 'Unblock' ELSE 'Vanish' END AS new_status FROM lineitem JOIN order_keys ON l_orderkey = o_orderkey""",
+    "workflows": """
+SELECT n_name AS workflow, m.pos, m.name, m.to_status, unnest(m.froms) AS from_status FROM (SELECT n_name, unnest([
+  {'pos': 0, 'name': 'Start', 'froms': CASE WHEN n_nationkey % 3 = 0 THEN ['To Do'] ELSE ['To Do', 'Open', 'New', 'Backlog'] END, 'to_status': 'In Progress'},
+  {'pos': 1, 'name': 'Finish', 'froms': ['In Progress', 'Active', 'Development'], 'to_status': 'Done'},
+  {'pos': 2, 'name': 'Reopen', 'froms': CASE WHEN n_nationkey % 2 = 1 THEN [] ELSE ['Done', 'Closed', 'Resolved', 'Completed'] END, 'to_status': 'Open'},
+  {'pos': 3, 'name': 'Block', 'froms': ['Open', 'In Progress', 'Active'], 'to_status': 'Blocked'},
+  {'pos': 4, 'name': 'Unblock', 'froms': ['Blocked'], 'to_status': 'In Progress'}]) AS m FROM nation)""",
+    "history_steps": """
+SELECT h.*, t.project, t.status AS first_status, row_number() OVER (PARTITION BY h.ticket_key ORDER BY seq) AS step
+FROM status_histories h JOIN tickets t ON t.key = h.ticket_key""",
+    "chain_pages": """
+SELECT project AS export, page, CASE WHEN lag(page) OVER w IS NOT NULL THEN substr(md5(project || '/' || page), 1, 10) END AS token,
+  substr(md5(project || '/' || lead(page) OVER w), 1, 10) AS next, row_number() OVER w AS place, count(*) OVER (PARTITION BY project) AS n_pages, n
+FROM (SELECT project, o_orderkey // 1500 AS page, count(*) AS n FROM raw_tickets GROUP BY ALL) WINDOW w AS (PARTITION BY project ORDER BY page)""",
+    "broken_pages": """
+SELECT export, token, CASE WHEN kind = 2 AND place = n_pages THEN second ELSE next END AS next, CASE WHEN kind = 1 AND place = 2 THEN 2 ELSE 1 END AS answers,
+  n, kind, place, n_pages
+FROM (SELECT *, CAST(string_split(export, '_')[-1] AS INTEGER) % 5 AS kind, first(next) OVER (PARTITION BY export ORDER BY page) AS second FROM chain_pages)
+WHERE NOT (kind = 0 AND place = 2) AND NOT (kind = 3 AND place = 1)""",
     "checked": """
 SELECT r.ticket_key, new_status, t.id AS transition_id, t.name AS target,
   CASE WHEN t.id IS NULL THEN 'In Progress, Done, Hand to ' || split_part(r.ticket_key, '-', 1) END AS available
@@ -326,6 +348,37 @@ def oracle() -> dict[str, str]:
         "list_projects": "SELECT * FROM projects",
         "read_boards": "SELECT * FROM boards",
         "read_sprints": "SELECT * FROM sprints",
+        "users_of_pages": "SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, accountId, displayName, emailAddress, active FROM users",
+        "resolve_users_of_pages": ("""SELECT query_id, u.q, accountId FROM user_queries u LEFT JOIN ranked r ON r.nq = lower(trim(u.q))""",
+                                   {"needles": "SELECT q FROM user_queries"}),
+        "issues_of_pages": "SELECT row_number() OVER (ORDER BY project, o_orderkey) - 1 AS pos, key, status, assignee FROM tickets",
+        "page_problems": """SELECT * FROM (WITH RECURSIVE walk AS (
+              SELECT export, coalesce(token, '') AS token, next, 0 AS page FROM broken_pages WHERE token IS NULL
+              UNION ALL SELECT w.export, b.token, b.next, page + 1 FROM walk w JOIN broken_pages b ON b.export = w.export AND b.token = w.next WHERE page <= n_pages),
+            reached AS (SELECT export, token, any_value(next) AS next, min(page) AS page FROM walk GROUP BY export, token)
+            SELECT r.export, 'missing' AS problem, r.next AS token, CAST(1 AS BIGINT) AS pages FROM reached r
+              WHERE r.next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM broken_pages b WHERE b.export = r.export AND b.token = r.next)
+            UNION ALL SELECT DISTINCT r.export, 'looping', r.next, CAST(1 AS BIGINT) FROM reached r JOIN reached v ON v.export = r.export AND v.token = r.next WHERE v.page <= r.page
+            UNION ALL SELECT export, 'repeated', token, CAST(2 AS BIGINT) FROM broken_pages WHERE answers = 2 AND n > 1
+            UNION ALL SELECT export, 'unreached', coalesce(token, ''), CAST(1 AS BIGINT) FROM broken_pages b
+              WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.export = b.export AND r.token = coalesce(b.token, ''))
+            UNION ALL SELECT export, 'headless', '', count(*) FROM broken_pages GROUP BY export HAVING count(*) FILTER (token IS NULL) = 0)""",
+        "transition_history": """SELECT * FROM (WITH RECURSIVE steps AS (
+              SELECT ticket_key, step, seq, new_status, project, first_status AS from_status FROM history_steps WHERE step = 1
+              UNION ALL SELECT h.ticket_key, h.step, h.seq, h.new_status, h.project, coalesce(wf.to_status, s.from_status)
+                FROM steps s JOIN history_steps h ON h.ticket_key = s.ticket_key AND h.step = s.step + 1
+                LEFT JOIN workflows wf ON wf.workflow = s.project AND wf.from_status = s.from_status AND lower(wf.name) = lower(s.new_status)),
+            options AS (SELECT workflow, from_status, string_agg(name, ', ' ORDER BY pos) AS names FROM workflows GROUP BY ALL)
+            SELECT ticket_key, seq, new_status, s.from_status, coalesce(wf.to_status, s.from_status) AS to_status, wf.to_status IS NOT NULL AS accepted,
+              CASE WHEN wf.to_status IS NULL THEN 'No transition to ''' || new_status || '''. Available: ' || coalesce(o.names, '') END AS error
+            FROM steps s LEFT JOIN workflows wf ON wf.workflow = s.project AND wf.from_status = s.from_status AND lower(wf.name) = lower(s.new_status)
+            LEFT JOIN options o ON o.workflow = s.project AND o.from_status = s.from_status)""",
+        "apply_transitions_in_order": """SELECT * FROM (WITH RECURSIVE steps AS (
+              SELECT ticket_key, CAST(0 AS BIGINT) AS step, project, first_status, first_status AS status FROM history_steps WHERE step = 1
+              UNION ALL SELECT h.ticket_key, h.step, h.project, s.first_status, coalesce(wf.to_status, s.status)
+                FROM steps s JOIN history_steps h ON h.ticket_key = s.ticket_key AND h.step = s.step + 1
+                LEFT JOIN workflows wf ON wf.workflow = h.project AND wf.from_status = s.status AND lower(wf.name) = lower(h.new_status))
+            SELECT ticket_key AS key, first_status AS old_status, arg_max(status, step) AS status FROM steps GROUP BY ALL)""",
         "parse_activities": """SELECT type, text, id, 'https://chat.example.com' AS serviceUrl, conversation_id, from_name,
             'Bot' AS recipient_name FROM activities""",
         "load_chat_history": "SELECT * FROM conversations",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import values as V
 from ..functions import metrics as M
-from . import schemas as S
+from . import paging, schemas as S
 
 
 def _scan(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
@@ -36,6 +36,18 @@ def parse_issue_pages(df: DataFrame, column: str = "value") -> DataFrame:
     return issues(parse_json(df, column, S.PAGE))
 
 
+def ordered_issues(pages: DataFrame) -> DataFrame:
+    """All issues of all pages with their position ``pos``; fails on an export whose pages do not form one chain."""
+    linked = paging.token_pages(pages, "issues", F.col("export"))
+    return paging.whole(paging.positioned_records(linked)).select("pos", "record.*")
+
+
+def ordered_users(pages: DataFrame) -> DataFrame:
+    """All user records of pages asked for by offset, with their position ``pos``; fails if a page is missing."""
+    linked = paging.offset_pages(pages, "values", F.col("export"))
+    return paging.whole(paging.positioned_records(linked)).select("pos", "record.*")
+
+
 def _or(c: str, default) -> Column:
     return F.coalesce(F.col(c), F.lit(default))
 
@@ -49,10 +61,15 @@ def _times() -> list[Column]:
     ]
 
 
+def _position(raw: DataFrame) -> list[str]:
+    return ["pos"] if "pos" in raw.columns else []
+
+
 def flatten_issues(raw: DataFrame) -> DataFrame:
     """Nested issues to ticket rows; instants for durations, wall clocks for calendar columns."""
     f = "fields."
     return raw.select(
+        *_position(raw),
         "key",
         F.col(f + "summary").alias("summary"),
         F.col(f + "description").alias("description"),
@@ -83,7 +100,9 @@ def flatten_epics(raw: DataFrame) -> DataFrame:
 
 
 def flatten_users(raw: DataFrame) -> DataFrame:
+    """User rows, with the position of the record where the pages gave one."""
     return raw.select(
+        *_position(raw),
         *[_or(c, "").alias(c) for c in ("accountId", "displayName", "emailAddress")],
         _or("active", True).alias("active"),
     )
@@ -98,6 +117,15 @@ def read_users(spark: SparkSession, path) -> DataFrame:
     return flatten_users(_scan(spark, path, S.USER))
 
 
+def read_user_pages(spark: SparkSession, path) -> DataFrame:
+    """Users with their position, as the resolvers need them, from exported pages."""
+    return flatten_users(ordered_users(_scan(spark, path, S.USER_PAGE)))
+
+
+def read_ordered_issues(spark: SparkSession, path) -> DataFrame:
+    return ordered_issues(_scan(spark, path, S.PAGE))
+
+
 def read_projects(spark: SparkSession, path) -> DataFrame:
     return flatten_projects(_scan(spark, path, S.PROJECT))
 

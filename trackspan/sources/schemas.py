@@ -34,6 +34,7 @@ PAGE = T.StructType([
     T.StructField("issues", T.ArrayType(ISSUE)),
     T.StructField("isLast", T.BooleanType()),
     T.StructField("nextPageToken", T.StringType()),
+    *_strings("pageToken", "export"),
 ])
 
 USER = T.StructType([
@@ -41,6 +42,14 @@ USER = T.StructType([
     T.StructField("active", T.BooleanType()),
 ])
 
+# A page of records that are asked for by offset.
+USER_PAGE = T.StructType([
+    T.StructField("startAt", T.LongType()),
+    T.StructField("maxResults", T.LongType()),
+    T.StructField("values", T.ArrayType(USER)),
+    *_strings("export"),
+])
+
 PROJECT = T.StructType([
     *_strings("key", "name", "id", "description"),
     T.StructField("lead", _PERSON),

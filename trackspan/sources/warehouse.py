@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.enrich import with_ticket_defaults
 from .schemas import TABLES
@@ -248,6 +248,25 @@ class Warehouse:
         return self.order_keys().select(
             "ticket_key", _case("o_orderkey % 3", "DONE", "in progress", "Nope").alias("new_status"))
 
+    def status_histories(self) -> DataFrame:
+        """One status request per order line, by line, then part."""
+        names = ["Start", "finish", "Reopen", "block", "Unblock", "Vanish"]
+        return self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(
+            self.order_keys(), F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "ticket_key", F.expr("l_linenumber * 1000000L + l_partkey").alias("seq"), _case("l_partkey % 6", *names).alias("new_status"))
+
+    def workflows(self) -> DataFrame:
+        """Five transitions per project; projects with an odd number cannot reopen, and every third one starts from To Do alone."""
+        moves = F.expr("""explode(array(
+            named_struct('pos', 0, 'name', 'Start', 'froms', IF(n_nationkey % 3 = 0, array('To Do'), array('To Do', 'Open', 'New', 'Backlog')), 'to_status', 'In Progress'),
+            named_struct('pos', 1, 'name', 'Finish', 'froms', array('In Progress', 'Active', 'Development'), 'to_status', 'Done'),
+            named_struct('pos', 2, 'name', 'Reopen', 'froms', IF(n_nationkey % 2 = 1, array(), array('Done', 'Closed', 'Resolved', 'Completed')), 'to_status', 'Open'),
+            named_struct('pos', 3, 'name', 'Block', 'froms', array('Open', 'In Progress', 'Active'), 'to_status', 'Blocked'),
+            named_struct('pos', 4, 'name', 'Unblock', 'froms', array('Blocked'), 'to_status', 'In Progress')))""").alias("m")
+        return self.table("nation").select("n_name", moves).select(
+            F.col("n_name").alias("workflow"), F.explode("m.froms").alias("from_status"), "m.pos",
+            F.expr("concat(n_name, ':', m.pos)").alias("id"), "m.name", "m.to_status")
+
     # -- chat ---------------------------------------------------------------
 
     def chat_history(self) -> DataFrame:
@@ -267,21 +286,66 @@ class Warehouse:
     # -- the same tables as exported JSON -------------------------------------
 
     @staticmethod
-    def _pages(issues: DataFrame) -> DataFrame:
-        """Rows as one-issue pages; a missing column value leaves its field out."""
+    def _issue() -> Column:
+        """A row as an issue; a missing column value leaves its field out."""
         def named(c, field="name"):
             return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias(field)))
 
         def iso(c):
             return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+0000"))
 
-        issue = F.struct("key", F.struct(
+        return F.struct("key", F.struct(
             "summary", "description", named("status").alias("status"), named("priority").alias("priority"),
             named("assignee", "displayName").alias("assignee"), named("reporter", "displayName").alias("reporter"),
             named("project", "key").alias("project"), named("issue_type").alias("issuetype"),
             iso("created").alias("created"), iso("updated").alias("updated"),
             F.col("epic_link").alias("customfield_10014"), F.col("story_points").alias("customfield_10016")).alias("fields"))
-        return issues.select(F.to_json(F.struct(F.array(issue).alias("issues"), F.lit(True).alias("isLast"))).alias("value"))
+
+    @classmethod
+    def _pages(cls, issues: DataFrame) -> DataFrame:
+        """Rows as one-issue pages."""
+        return issues.select(F.to_json(F.struct(F.array(cls._issue()).alias("issues"), F.lit(True).alias("isLast"))).alias("value"))
+
+    def user_pages_json(self) -> DataFrame:
+        """Users on pages of fifty by offset; the last page may be short. Addresses left out where empty."""
+        u = self.users().withColumn("page", F.expr("(pos - 1) DIV 50"))
+        user = F.struct("pos", F.struct("accountId", "displayName", F.expr("nullif(emailAddress, '')").alias("emailAddress"), "active").alias("user"))
+        pages = u.groupBy("page").agg(F.sort_array(F.collect_list(user)).alias("u"))
+        return pages.select(F.to_json(F.struct(
+            (F.col("page") * 50).alias("startAt"), F.lit(50).alias("maxResults"), F.col("u.user").alias("values"))).alias("value"))
+
+    def issue_chain(self) -> DataFrame:
+        """Tickets on pages by ranges of order keys, one export per project: ``export, page, token, next, issues``; the first token is null."""
+        t = self.raw_tickets().withColumns({"story_points": F.lit(None).cast("double"),
+                                            "number": F.element_at(F.split("key", "-"), -1).cast("long")})
+        t = t.withColumn("page", F.expr("number DIV 1500"))
+        pages = t.groupBy(F.col("project").alias("export"), "page").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("number", self._issue().alias("issue")))), lambda x: x["issue"]).alias("issues"))
+        order = Window.partitionBy("export").orderBy("page")
+        token = F.substring(F.md5(F.concat_ws("/", "export", "page").cast("binary")), 1, 10)
+        return pages.select("export", "page", F.when(F.lag("page").over(order).isNotNull(), token).alias("token"),
+                            F.lead(token).over(order).alias("next"), "issues",
+                            F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("export")).alias("n_pages"))
+
+    @staticmethod
+    def _chain_json(pages: DataFrame) -> DataFrame:
+        return pages.select(F.to_json(F.struct("export", F.col("token").alias("pageToken"), "issues", F.col("next").isNull().alias("isLast"),
+                                               F.col("next").alias("nextPageToken"))).alias("value"))
+
+    def chained_issue_pages_json(self) -> DataFrame:
+        return self._chain_json(self.issue_chain())
+
+    def broken_issue_pages_json(self) -> DataFrame:
+        """The same, but of every five projects one lacks its second page, one answers that token twice, one leads from its last page back to the
+        second, and one lacks its first page."""
+        order = Window.partitionBy("export").orderBy("page")
+        c = self.issue_chain().withColumn("second", F.first("next").over(order))
+        kind = F.expr("CAST(substring_index(export, '_', -1) AS INT) % 5")
+        c = c.withColumn("kind", kind).where("NOT (kind = 0 AND place = 2) AND NOT (kind = 3 AND place = 1)")
+        back = F.when((F.col("kind") == 2) & (F.col("place") == F.col("n_pages")), F.col("second")).otherwise(F.col("next"))
+        c = c.withColumn("next", back)
+        again = c.where("kind = 1 AND place = 2").withColumn("issues", F.slice("issues", 1, 1))
+        return self._chain_json(c.unionByName(again))
 
     def issue_pages_json(self) -> DataFrame:
         return self._pages(self.raw_tickets().withColumn("story_points", F.lit(None).cast("double")))
