@@ -10,26 +10,77 @@ at one by one.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..staging import shared_dir, stage
+from ..staging import delete_at_exit, shared_dir, stage
+from .common import ship
 
-BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ship(__name__)
+
+# ASCII letters and every byte of a non-ASCII character make terms; letters A-Z become a-z.
+TERM_BYTES = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 LEAST_DOCS, TOP_TERMS = 10, 10
 ALL_TERMS = (1 << 31) - 1
-MARK = "\x00"  # stands in no term, so it parts a term from its language
+MARK = b"\x00"  # stands in no term, so it parts a term from its language
+MOST_CELLS = 1 << 23  # of the sums that a task holds before it hands them on: 64 MB
 PER = 1_000_000_000
 
 
-def keyed_terms(text: Column, lang: Column) -> Column:
-    """The terms of a text (not null), A-Z in lower case, each followed by the mark and its language."""
-    terms = F.split(F.translate(text, CAPITALS, SMALL), BETWEEN_TERMS)
-    tail = F.concat(F.lit(MARK), lang)
-    return F.transform(F.filter(terms, lambda t: t != ""), lambda t: F.concat(t, tail))
+def keyed_terms(rows: DataFrame, distinct: bool) -> DataFrame:
+    """``source, terms`` of ``source, lang, text`` without nulls: the (distinct) terms of a text, each followed by the mark and its language."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, flat = [0], []
+            for text, lang in zip(batch.column(2), batch.column(1).to_pylist()):
+                terms = text.as_buffer().to_pybytes().translate(TERM_BYTES).split()
+                tail = MARK + lang.encode()
+                terms = set(terms) if distinct else terms
+                # Joined and parted again, all terms get their tail at once.
+                flat += [t + tail for t in terms] if b"\x01" in tail else (tail + b"\x01").join([*terms, b""]).split(b"\x01")[:-1]
+                ends.append(len(flat))
+            terms = pa.array(flat, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=["source", "terms"])
+
+    return rows.select("source", "lang", F.col("text").cast("binary")).mapInArrow(run, "source string, terms array<string>")
+
+
+def group_sums(vectors: DataFrame, size: int) -> DataFrame:
+    """``term_id, source, n``: the sums of sparse vectors per source, exact.
+
+    A task adds the vectors of a source to one array, as a summarizer does, and hands on what is not zero at its end, or
+    before that when the arrays of many sources reach the limit.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for source, own in sums.items():
+                at = np.flatnonzero(own)
+                for first in range(0, len(at), 1 << 17):
+                    some = at[first:first + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([source] * len(some), pa.string()), pa.array(own[some])],
+                                                     names=["term_id", "source", "n"])
+            sums.clear()
+
+        for batch in batches:
+            places, counts = batch.column(1), batch.column(2)
+            ends, ids, values = places.offsets.to_numpy(), places.values.to_numpy(), counts.values.to_numpy().astype(np.int64)
+            for i, source in enumerate(batch.column(0).to_pylist()):
+                if source not in sums:
+                    if (len(sums) + 1) * size > MOST_CELLS:
+                        yield from handed_on()
+                    sums[source] = np.zeros(size, np.int64)
+                sums[source][ids[ends[i]:ends[i + 1]]] += values[ends[i]:ends[i + 1]]
+        yield from handed_on()
+
+    cells = vectors.select("source", F.unwrap_udt("vector").alias("v")).select("source", "v.indices", "v.values")
+    return cells.mapInArrow(run, "term_id int, source string, n long").groupBy("term_id", "source").agg(F.sum("n").alias("n"))
 
 
 def _vocabulary(spark, model) -> DataFrame:
@@ -39,33 +90,31 @@ def _vocabulary(spark, model) -> DataFrame:
         return spark.createDataFrame(list(enumerate(model.vocabulary)), "term_id int, key string")
     path = f"{folder.rstrip('/')}/trackspan-vocabulary-{uuid.uuid4().hex}"
     model.write().save(path)
-    saved = spark._jvm.org.apache.hadoop.fs.Path(path)
-    saved.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(saved)
+    delete_at_exit(spark, path)
     return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("term_id", "key"))
 
 
-def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+def term_counts(rows: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """The kept terms as ``term_id, lang, term``, and ``term_id, source, n`` for each source that has one, both staged.
 
-    ``docs`` has ``source, terms`` without nulls. A vectorizer's vocabulary passes through the driver and is broadcast; it
-    holds the terms of at least ``least_docs`` documents only.
+    ``rows`` has ``source, lang, text`` without nulls. A vectorizer's vocabulary passes through the driver and is broadcast; it
+    holds the terms of at least ``least_docs`` documents only. It is fitted on the distinct terms of each document, which have
+    the same document frequencies.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=ALL_TERMS, minDF=float(least_docs))
     try:
-        model = vectorizer.fit(docs.select("terms"))
+        model = vectorizer.fit(keyed_terms(rows, distinct=True).select("terms"))
     except IllegalArgumentException as e:
         if "vocabulary size should be > 0" not in str(e):
             raise
         return (spark.createDataFrame([], "term_id int, lang string, term string"),
                 spark.createDataFrame([], "term_id int, source string, n long"))
-    mark = F.instr("key", MARK)
-    vocabulary = _vocabulary(spark, model).select(
-        "term_id", F.substring("key", mark + 1, F.length("key")).alias("lang"), F.substring("key", F.lit(1), mark - 1).alias("term"))
-    vectors = model.transform(docs.select("source", "terms")).select("source", F.unwrap_udt("vector").alias("v"))
-    cells = vectors.select("source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c"))
-    counts = cells.groupBy(F.col("c.indices").alias("term_id"), "source").agg(F.sum(F.col("c.values").cast("long")).alias("n"))
-    return stage(vocabulary, "vocabulary"), stage(counts, "term-counts")
+    mark = F.instr("key", MARK.decode())
+    vocabulary = stage(_vocabulary(spark, model).select(
+        "term_id", F.substring("key", mark + 1, F.length("key")).alias("lang"), F.substring("key", F.lit(1), mark - 1).alias("term")), "vocabulary")
+    vectors = model.transform(keyed_terms(rows, distinct=False)).select("source", "vector")
+    return vocabulary, stage(group_sums(vectors, vocabulary.count()), "term-counts")
 
 
 def share(n: str, total: str) -> Column:
@@ -118,7 +167,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
     """
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
     rows = docs.select(lang, source, text)
-    vocabulary, counted = term_counts(rows.select("source", keyed_terms(F.col("text"), F.col("lang")).alias("terms")), least_docs)
+    vocabulary, counted = term_counts(rows, least_docs)
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("n_terms"))
     counts = stage(counted.join(vocabulary, "term_id"), "kept-counts")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
