@@ -28,6 +28,7 @@ TERM_BYTES = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c
 LEAST_DOCS, TOP_TERMS = 10, 10
 ALL_TERMS = (1 << 31) - 1
 MARK = b"\x00"  # stands in no term, so it parts a term from its language
+BATCH_TERMS = 1 << 17
 MOST_CELLS = 1 << 23  # of the sums that a task holds before it hands them on: 64 MB
 PER = 1_000_000_000
 
@@ -36,16 +37,18 @@ def keyed_terms(rows: DataFrame, distinct: bool) -> DataFrame:
     """``source, terms`` of ``source, lang, text`` without nulls: the (distinct) terms of a text, each followed by the mark and its language."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, flat = [0], []
-            for text, lang in zip(batch.column(2), batch.column(1).to_pylist()):
+            first, ends, flat = 0, [0], []
+            for row, (text, lang) in enumerate(zip(batch.column(2), batch.column(1).to_pylist()), 1):
                 terms = text.as_buffer().to_pybytes().translate(TERM_BYTES).split()
                 tail = MARK + lang.encode()
                 terms = set(terms) if distinct else terms
                 # Joined and parted again, all terms get their tail at once.
                 flat += [t + tail for t in terms] if b"\x01" in tail else (tail + b"\x01").join([*terms, b""]).split(b"\x01")[:-1]
                 ends.append(len(flat))
-            terms = pa.array(flat, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=["source", "terms"])
+                if len(flat) >= BATCH_TERMS or row == batch.num_rows:
+                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, row - first), listed], names=["source", "terms"])
+                    first, ends, flat = row, [0], []
 
     return rows.select("source", "lang", F.col("text").cast("binary")).mapInArrow(run, "source string, terms array<string>")
 
