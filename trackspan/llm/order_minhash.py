@@ -1,9 +1,10 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 Similarity of two texts is one minus the edit distance of their word sequences over the longer length. Order MinHash
-samples, per hash function, the ``PICKED`` k-mers of five words with the least hash, each labelled by its occurrence, and
-keeps them in text order; texts that agree in one such tuple are candidates. Texts of up to ``EXACT`` words are also keyed by
-what is left of them after few deletions, which misses no similar pair of such texts.
+samples, per hash function, the ``PICKED`` k-mers of five words with the least hash and those with the greatest, each labelled by
+its occurrence, and keeps them in text order; texts that agree in one such tuple are candidates. Texts of less than ``LONG`` words,
+whose few k-mers make tuples a matter of chance, are also keyed by single least k-mers. Texts of up to ``EXACT`` words are keyed
+by what is left of them after few deletions too, which misses no similar pair of such texts.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from .components import components
 ship(__name__)
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 64, 2
+FUNCTIONS, PICKED = 64, 2
+LONG, SINGLES = 100, 64
 EXACT = 15
 BINS = 512
 TILE = 1000
 CHUNK = 1 << 15
-SKETCH = "doc_id long, key binary, n_words long, bins binary, sketch array<long>"
-SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SKETCH = "doc_id long, key binary, n_words long, bins binary, marks binary, sketch array<long>"
+SEEDS = mix64(np.arange(1, 2 * FUNCTIONS + SINGLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def kmers(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -54,36 +56,49 @@ def kmers(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def sketch_of(codes: np.ndarray) -> np.ndarray:
-    """One 64-bit number per hash function: its least k-mers in text order."""
+    """One 64-bit number per sketch: for every hash function its least k-mers in text order, then for every one its greatest; of a text
+    of less than ``LONG`` words also the least k-mer alone, for the first functions."""
     labelled = kmers(codes)
     if not len(labelled):
         return np.empty(0, np.int64)
     short = (labelled >> np.uint64(32)).astype(np.uint32)
-    a = (SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]
-    b = (SEEDS >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
-    values, places = [], []
-    lines = np.arange(SKETCHES)
+    a = (SEEDS[:FUNCTIONS] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]
+    b = (SEEDS[:FUNCTIONS] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+    lines = np.arange(FUNCTIONS)
+    ends: tuple[list, list] = ([], [])  # values and places at the low end, at the high end
     for begin in range(0, len(short), CHUNK):
         own = (short[None, begin:begin + CHUNK] ^ a) * b
         own ^= own >> np.uint32(15)
         own *= np.uint32(0x2C1B3C6D)
         own ^= own >> np.uint32(13)
-        for _ in range(min(PICKED, own.shape[1])):
-            at = own.argmin(axis=1)
-            values.append(own[lines, at].copy())
-            places.append(at + begin)
-            own[lines, at] = np.uint32(0xFFFFFFFF)
-    values, places = np.stack(values, 1), np.stack(places, 1)
-    if values.shape[1] > PICKED:
-        least = np.argsort(values, axis=1, kind="stable")[:, :PICKED]
-        places = np.take_along_axis(places, least, 1)
-    places = np.sort(places, axis=1)
-    out = SEEDS.copy()
-    for column in places.T:
+        for found, worst, at_end in ((ends[0], np.uint32(0xFFFFFFFF), np.argmin), (ends[1], np.uint32(0), np.argmax)):
+            taken = []
+            for _ in range(min(PICKED, own.shape[1])):
+                at = at_end(own, axis=1)
+                value = own[lines, at].copy()
+                found.append((value if worst else ~value, at + begin))
+                taken.append((at, value))
+                own[lines, at] = worst
+            for at, value in reversed(taken):
+                own[lines, at] = value
+    tuples = []
+    for found in ends:
+        values, places = (np.stack(x, 1) for x in zip(*found))
+        places = np.take_along_axis(places, np.argsort(values, axis=1, kind="stable")[:, :PICKED], 1)
+        tuples.append(places)
+    out = SEEDS[:2 * FUNCTIONS].copy()
+    for column in np.sort(np.concatenate(tuples), axis=1).T:
         out = mix64(out ^ labelled[column])
+    if len(codes) < LONG:
+        single = mix64(SEEDS[2 * FUNCTIONS:] ^ labelled[tuples[0][:SINGLES, 0]])
+        out = np.concatenate([out, single])
     return out.view(np.int64)
 
 
+def _marks(sketch: np.ndarray) -> np.ndarray:
+    return (sketch.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
 def deletions(codes: np.ndarray, similarity: float) -> np.ndarray:
     """One 64-bit number per way to delete words, none included, as many as a similar text may differ by.
 
@@ -103,15 +118,16 @@ def deletions(codes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, key, n_words, bins, sketch`` of every row with words and an id.
+    """``doc_id, key, n_words, bins, marks, sketch`` of every row with words and an id.
 
     ``key`` is a 128-bit hash of the word sequence, ``bins`` the number of words (little-endian
     uint32) and their counts in 512 hashed bins (a byte each, at most 255), from which a lower bound of the edit distance
-    follows. ``sketch`` has the sketch numbers and, for texts of up to ``EXACT`` words, those of :func:`deletions`.
+    follows. ``sketch`` has the sketch numbers, of which ``marks`` has 32 bits each, and, for texts of up to ``EXACT`` words,
+    those of :func:`deletions`.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, sizes, bins, out = [], [], [], [], []
+            ids, keys, sizes, bins, marks, out = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 key, parts = hashlib.blake2b(digest_size=16), []
                 for words in word_pieces(text.as_buffer().to_pybytes()):
@@ -126,14 +142,15 @@ def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 counts = np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8)
                 bins.append(np.array([len(codes)], "<u4").tobytes() + counts.tobytes())
                 out.append(sketch_of(codes))
+                marks.append(_marks(out[-1]).tobytes())
                 if len(codes) <= EXACT:
                     out[-1] = np.concatenate([out[-1], deletions(codes, similarity)])
             ends = np.cumsum([0, *map(len, out)])
             flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                names=["doc_id", "key", "n_words", "bins", "sketch"])
+                pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                names=["doc_id", "key", "n_words", "bins", "marks", "sketch"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, SKETCH)
@@ -251,14 +268,31 @@ def verified(near: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -
     return joined.mapInArrow(align, "a long, b long")
 
 
+def _mark_rows(packed: list[bytes]) -> np.ndarray:
+    """A row of marks per text; a long text's missing ones are numbers that no other row has."""
+    width = 2 * FUNCTIONS + SINGLES
+    rows = np.repeat(np.arange(len(packed), dtype=np.uint64)[:, None], width, axis=1) + np.uint64(1 << 32)
+    for i, raw in enumerate(packed):
+        own = np.frombuffer(raw, "<u4")
+        rows[i, :len(own)] = own
+    return rows
+
+
 def _tile_pairs(similarity: float):
-    """Pairs of a tile that are in different classes so far and that lengths and word counts allow."""
+    """Pairs of a tile that are in different classes so far and that lengths and word counts allow.
+
+    Two texts meet in every bucket they share. A pair is given out in the bucket of the first sketch that both have alike, so by
+    one tile only; a pair that no sketch but deletions bring together, by each of those. (Sketches count as alike by 32 bits: of 10^8 pairs some
+    four fall to a bucket they do not share and are not compared there.)
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         ids, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
         halves, square = table.column("half").to_numpy(), table.column("square").to_numpy(zero_copy_only=False)
+        bucket = _marks(table.column("h").to_numpy())
         sizes, counts = _counts(table.column("bins").to_pylist())
+        marks = _mark_rows(table.column("marks").to_pylist())
         found_a, found_b = [], []
         for begin, end in zip(bounds[:-1], bounds[1:]):
             for i in range(begin, end - 1):
@@ -266,6 +300,11 @@ def _tile_pairs(similarity: float):
                 # Tiles off the diagonal compare the two halves only.
                 live = (roots[others] != roots[i]) & (square[i] | (halves[others] != halves[i]))
                 others = others[live]
+                if not len(others):
+                    continue
+                alike = marks[others] == marks[i]
+                first = alike.argmax(axis=1)
+                others = others[(marks[i, first] == bucket[i]) | ~alike[np.arange(len(others)), first]]
                 if len(others):
                     others = others[_may_match(sizes[i], counts[i][None, :], sizes[others], counts[others], similarity)]
                     found_a.append(np.full(len(others), ids[i]))
@@ -290,12 +329,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     give pairs in three steps that never list all pairs of a bucket of similar texts. Each node first meets one least
     member of its buckets, then any two classes that meet do so in one pair: a group of mutually similar texts is one
     class after that. Buckets that still hold several classes are compared in tiles of at most two times ``tile``
-    members, keeping pairs of different classes that word counts allow; those are aligned too, so no candidate is lost.
+    members, keeping pairs of different classes that word counts allow, each once; those are aligned too, so no candidate is lost.
     """
     sketched = stage(sketches(docs, similarity), "sketches")
     groups = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     members = sketched.select("key", "doc_id").join(groups, "key").select("doc_id", "node").distinct()
-    nodes = sketched.join(groups, "key").where("doc_id = node").select("doc_id", "bins", "sketch")
+    nodes = sketched.join(groups, "key").where("doc_id = node").select("doc_id", "bins", "marks", "sketch")
     nodes = stage(nodes.dropDuplicates(["doc_id"]) if _repeats(sketched) else nodes, "sketched-nodes")
     hashes = nodes.select(F.col("doc_id").alias("node"), F.explode("sketch").alias("h"))
     buckets = stage(hashes.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -326,9 +365,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     tiles = (classed.join(mixed, "h").withColumn("parts", parts).withColumn("half", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select(F.xxhash64("h", F.least("half", "other"), F.greatest("half", "other")).alias("tile"), "node", "root", "half",
+             .select(F.xxhash64("h", F.least("half", "other"), F.greatest("half", "other")).alias("tile"), "h", "node", "root", "half",
                      (F.col("half") == F.col("other")).alias("square")))
-    tiles = tiles.join(nodes.select(F.col("doc_id").alias("node"), "bins"), "node")
+    tiles = tiles.join(nodes.select(F.col("doc_id").alias("node"), "bins", "marks"), "node")
     more = stage(map_groups(tiles, "tile", _tile_pairs(similarity), "a long, b long").distinct()
                  .join(first.union(second), ["a", "b"], "left_anti"), "more-candidates")
     late = stage(verified(more, docs, similarity), "more-links")
