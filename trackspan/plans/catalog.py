@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import metrics as M, text as X
 from ..functions.ratio import title_ratio
-from ..operators import aggregates as A, changes as C, chat, epics as E, people as P, rankings as R, sprints as S, tickets as T, workflow as WF
+from ..operators import aggregates as A, changes as C, chat, epics as E, people as P, rankings as R, sprints as S, tickets as T, trend_blocks as TB, workflow as WF
 from ..operators.enrich import enrich
 from ..sources import pages, paging
 from ..sources.schemas import BOARD, CHAT_TURN, PAGE, PROJECT, SPRINT, USER, USER_PAGE
 from ..sources.warehouse import AS_OF, BASE_URL, EMAIL_DOMAIN, Warehouse
+from ..streaming import maintained as RS
+from ..streaming.maintained import ReportState
 from ..streaming.messages import write_available
+from ..staging import CHECKPOINT_DIR, delete_at_exit, shared_dir
 from . import report as RP
-from ..staging import CHECKPOINT_DIR, shared_dir
 
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -647,13 +649,48 @@ def reply_rows(w):
 # -- streaming ------------------------------------------------------------------------------------------
 
 
+def _run_folder(spark: SparkSession, name: str) -> str:
+    """A folder for one run of a stream, deleted when the application ends."""
+    folder = shared_dir(spark)
+    if folder is None:
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors see")
+    run = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, run)
+    return run
+
+
+@query
+def maintained_report(w):
+    """The report over recent tickets that arrive in three waves: a third first in an older version, which a late copy repeats at the end."""
+    run = _run_folder(w.spark, "report")
+    tickets = T.recent_tickets(w.tickets(), AS_OF, ordered=False)
+    turn = F.expr("CAST(substring_index(key, '-', -1) AS BIGINT) % 3")
+    older = tickets.where(turn == 0).withColumns({"status": F.lit("To Do"), "assignee": F.lit("Nobody"), "priority": F.lit("Low"),
+                                                  "updated": F.expr("updated - INTERVAL 1 DAY")})
+    waves = [older.unionByName(tickets.where(turn == 1)), tickets.where(turn == 0),
+             tickets.where(turn == 2).unionByName(older.where("updated IS NOT NULL")).unionByName(tickets.where(turn == 1))]
+    state = ReportState(w.spark, f"{run}/state", every=2)
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{run}/in")
+        arrivals = w.spark.readStream.schema(tickets.schema).parquet(f"{run}/in")
+        RS.maintained_report(arrivals, enrich, state, f"{run}/out", f"{run}/checkpoint", w.epics(), period=None).awaitTermination()
+    return w.spark.read.parquet(f"{run}/out/batch={len(waves) - 1}")
+
+
+@query
+def resolution_trend_of_blocks(w):
+    return TB.trend_of_blocks(TB.time_blocks(A.resolution_series(_enriched(w)), "updated", "tickets_resolved"), "resolution_trend")
+
+
+@query
+def creation_trend_of_blocks(w):
+    return TB.trend_of_blocks(TB.date_blocks(A.daily_creation(_enriched(w)), "created_date", "tickets_created"), "creation_trend")
+
+
 @query
 def message_stream(w):
     """The message filter over the chat history read as a stream."""
-    folder = shared_dir(w.spark)
-    if folder is None:
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors see")
-    run = f"{folder.rstrip('/')}/messages-{uuid.uuid4().hex}"
+    run = _run_folder(w.spark, "messages")
     turns = w.spark.readStream.schema(CHAT_TURN).option("pathGlobFilter", "conversations.parquet").parquet(w.folder)
     stream = chat.message_events(turns.withColumn("type", F.expr("CASE WHEN role = 'user' THEN 'message' ELSE 'typing' END")))
     write_available(stream.select("conv_id", "turn", "text"), f"{run}/out", f"{run}/checkpoint").awaitTermination()

@@ -450,6 +450,8 @@ def oracle() -> dict[str, str]:
             FROM resolved_at GROUP BY 1""",
         "creation_trend": _CREATION_TREND,
         "resolution_trend": _RESOLUTION_TREND,
+        "creation_trend_of_blocks": _CREATION_TREND,
+        "resolution_trend_of_blocks": _RESOLUTION_TREND,
         "event_trend": _SLOPE.format("n", "event_trend", "d", "(SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)"),
         "status_distribution": _COUNT % "status",
         "status_category_distribution": _COUNT % "status_category",
@@ -464,6 +466,7 @@ def oracle() -> dict[str, str]:
               WHEN grouping(status_category) = 0 THEN 'status_category' ELSE 'rows' END AS dimension,
               coalesce(status, project, status_category) AS value, count(*) AS n
             FROM enriched WHERE regexp_matches(lower(assignee), '#0000001') GROUP BY GROUPING SETS ((status), (project), (status_category), ())""",
+        "maintained_report": (_tall(), {"base": "recent"}),
         "comprehensive_report": (_tall(), {"base": "recent"}),
         "last_n_turns": """SELECT conv_id, turn, role, text FROM conversations
             QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5""",

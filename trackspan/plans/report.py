@@ -25,15 +25,15 @@ _DIMS = ["project", "assignee", "status", "status_category", "priority", "create
          "resolution_time_days", "epic_link"]
 
 
-def summarize(enriched: DataFrame) -> DataFrame:
-    """All measures by all grouping sets: one scan, one shuffle of partial sums.
-
-    Additive, so it is also the thing to keep when the tickets themselves are too large to hold.
-    """
+def report_rows(enriched: DataFrame, *keep: str) -> DataFrame:
+    """What the report needs of each ticket: its dimensions and measures, after the columns in ``keep``."""
     if "epic_link" not in enriched.columns:
         enriched = enriched.withColumn("epic_link", F.lit(None).cast("string"))
-    base = enriched.withColumn("resolved_at", F.when(F.col("is_resolved"), F.col("updated"))).select(
-        *_DIMS, *A.measure_columns())
+    return enriched.withColumn("resolved_at", F.when(F.col("is_resolved"), F.col("updated"))).select(*keep, *_DIMS, *A.measure_columns())
+
+
+def summarize_rows(base: DataFrame) -> DataFrame:
+    """All measures by all grouping sets. Rows with negative measures take back what they once added."""
     grouped = base.groupingSets(list(_SETS.values()), *_DIMS).agg(
         F.grouping_id().alias("_g"), *[F.sum(m).alias(m) for m in A.MEASURES])
     bit = {d: 1 << (len(_DIMS) - 1 - i) for i, d in enumerate(_DIMS)}
@@ -42,6 +42,19 @@ def summarize(enriched: DataFrame) -> DataFrame:
     return grouped.withColumn("part", name).drop("_g")
 
 
+def summarize(enriched: DataFrame) -> DataFrame:
+    """All measures by all grouping sets: one scan, one shuffle of partial sums.
+
+    Additive, so it is also the thing to keep when the tickets themselves are too large to hold.
+    """
+    return summarize_rows(report_rows(enriched))
+
+
+def merged(summaries: DataFrame) -> DataFrame:
+    """One summary from the rows of several; groups that no ticket is left in vanish."""
+    return summaries.groupBy("part", *_DIMS).agg(*[F.sum(m).alias(m) for m in A.MEASURES]).where("n <> 0")
+
+
 def _sections(s: DataFrame, epics: DataFrame | None, loaded_at) -> dict[str, DataFrame]:
     def part(name: str) -> DataFrame:
         return s.where(F.col("part") == name).select(*_SETS[name], *A.MEASURES)

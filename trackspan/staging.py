@@ -93,6 +93,13 @@ def staging_into(own: Scope) -> Iterator[Scope]:
         _SCOPES.reset(token)
 
 
+def own_folder(spark: SparkSession, path: str) -> None:
+    """Has the innermost open scope, or the application's end, delete a folder."""
+    if _SCOPES.get():
+        _SCOPES.get()[-1].own(spark, path)
+    delete_at_exit(spark, path)
+
+
 def stage(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """``df`` computed once for several readers, who then plan against its real size.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.report import summarize, tall, _sections
-from ..staging import stage
+from ..staging import scope, stage
 
 
 def refreshed_report(arrivals: DataFrame, load: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
@@ -22,10 +22,10 @@ def refreshed_report(arrivals: DataFrame, load: Callable[[DataFrame], DataFrame]
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        summary = stage(summarize(load(batch)), "summary")
-        report = _sections(summary, epics, datetime.now(timezone.utc))
-        tall(report).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
-        summary.unpersist()
+        with scope():
+            summary = stage(summarize(load(batch)), "summary")
+            report = _sections(summary, epics, datetime.now(timezone.utc))
+            tall(report).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
     writer = arrivals.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if period is None else {"processingTime": period}
