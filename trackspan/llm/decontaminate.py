@@ -42,7 +42,10 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 class WindowSet:
-    """Windows as numbers: word codes, a hash per window, and the items of each. Built on the driver, sent to executors."""
+    """Windows as numbers: word codes, a hash per window, and the items of each.
+
+    Built on the driver; what is broadcast are its plain parts, as executors need not have this package.
+    """
 
     def __init__(self, rows: list[tuple[bytes, list[str]]]):
         self.codes: dict[bytes, int] = {}
@@ -57,6 +60,15 @@ class WindowSet:
             order = np.argsort(hashes, kind="stable")
             self.tables.append((length, hashes[order], matrix[order], [own[i][1] for i in order]))
 
+    def parts(self) -> tuple:
+        return self.codes, self.tables
+
+    @classmethod
+    def of(cls, parts: tuple) -> WindowSet:
+        out = cls.__new__(cls)
+        out.codes, out.tables = parts
+        return out
+
     @staticmethod
     def hashed(matrix: np.ndarray) -> np.ndarray:
         out = np.zeros(len(matrix), dtype=np.uint64)
@@ -165,7 +177,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BL
     def scanner(held):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = list(found_in(batch.column(2), held.value))
+                got = list(found_in(batch.column(2), WindowSet.of(held.value)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), batch.column(1), pa.array([g[1] for g in got], pa.int64()),
                     pa.array([[{"first": a, "end": b} for a, b in g[2]] for g in got], span),
@@ -173,9 +185,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BL
                     names=["row", "doc_id", "n_words", "spans", "items"])
         return run
 
-    passes = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(s)), schema) for s in window_sets(benchmark, n, block)]
+    passes = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(s.parts())), schema) for s in window_sets(benchmark, n, block)]
     if not passes:
-        passes = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(WindowSet([]))), schema)]
+        passes = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(WindowSet([]).parts())), schema)]
     if len(passes) == 1:
         return passes[0]
     everything = passes[0]
@@ -222,7 +234,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, bloc
     def keeper(held):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [not spans for _, _, spans, _ in found_in(batch.column(batch.num_columns - 1), held.value)]
+                keep = [not spans for _, _, spans, _ in found_in(batch.column(batch.num_columns - 1), WindowSet.of(held.value))]
                 yield batch.filter(pa.array(keep, pa.bool_())).select(range(batch.num_columns - 1))
         return run
 
@@ -230,7 +242,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, bloc
     for s in window_sets(benchmark, n, block):
         out = out if first else stage(out, "clean")  # one set in the executors at a time
         first = False
-        out = out.withColumn(text, F.col("text").cast("binary")).mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(s)), docs.schema)
+        out = out.withColumn(text, F.col("text").cast("binary")).mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(s.parts())), docs.schema)
     return out
 
 
