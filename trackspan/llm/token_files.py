@@ -21,10 +21,11 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..staging import CHECKPOINT_DIR, shared_dir, stage
+from ..staging import CHECKPOINT_DIR, own_folder, shared_dir, stage
 from .common import ship, worker_cache
 
 ship(__name__)
@@ -32,6 +33,7 @@ ship(__name__)
 END_ID = 1
 CACHE_PIECES = 250_000
 BATCH_CHARS = 1 << 20
+SHARED_CHARS = 1 << 22  # texts whose pieces are numbered together
 NULL_ID = -(1 << 63)
 PART = "part long, n_docs long, n_tokens long"
 SPAN = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -46,14 +48,13 @@ def mounted(folder: str) -> str:
 
 
 def new_folder(spark: SparkSession, name: str = "tokens") -> str:
-    """An empty folder under the shared one, deleted when the application ends."""
+    """An empty folder under the shared one, deleted with the scope it is made in or when the application ends."""
     shared = shared_dir(spark)
     if shared is None:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors see")
     path = f"{mounted(shared).rstrip('/')}/trackspan-{name}-{uuid.uuid4().hex}"
     os.makedirs(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    own_folder(spark, f"file://{path}")
     return path
 
 
@@ -153,14 +154,24 @@ class WordEncoder:
         """The ids of each text as bytes of ``dtype``."""
         if self.whole:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        pieces = set().union(*split)
-        missing = pieces.difference(self.cache)
+        # Split, number and look up in Arrow: Python sees each different piece of the batch once.
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        missing = {p for p in pieces if p not in self.cache}
         if missing:
             self.learn(missing)
-            if not pieces <= self.cache.keys():  # the generation has changed
-                self.learn(pieces.difference(self.cache))
-        return [b"".join(map(self.cache.__getitem__, own)) for own in split]
+            again = {p for p in pieces if p not in self.cache}  # the generation has changed
+            if again:
+                self.learn(again)
+        found = [self.cache[p] for p in pieces]
+        ends = np.cumsum([0, *map(len, found)]) // self.dtype.itemsize
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), self.dtype)))
+        taken = ids.take(numbered.indices)
+        bounds = taken.offsets.to_numpy()[split.offsets.to_numpy()] * self.dtype.itemsize
+        raw = taken.flatten().to_numpy().tobytes()
+        bounds = bounds - bounds[0]
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -200,7 +211,7 @@ def _encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[in
             continue
         rows.append((doc_id, text))
         held += len(text)
-        if held >= BATCH_CHARS:
+        if held >= SHARED_CHARS:
             for (i, _), ids in zip(rows, enc.packed([t for _, t in rows])):
                 yield i, [ids, end]
             rows, held = [], 0
