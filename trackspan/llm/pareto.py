@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..staging import stage
-from .common import fresh
 
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
@@ -59,33 +58,34 @@ def _scales(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
         scales = now
 
 
-def copies(sized: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """Adds ``copies`` (0 to ``most``) to rows with ``doc_id, source, size`` and optionally ``weight``.
+def _plan(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """Per source (``of``) its target and the factor from weight to expected copies."""
+    if "weight" in sized.columns:
+        return _scales(_weighed(sized), targets, most)
+    return targets.select(F.col("source").alias("of"), "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("scale"))
 
-    A document is expected in ``scale * weight`` copies, at most ``most``; the whole part is certain. Its fraction is the
-    inclusion probability of one more copy: the documents of a source are ranked by their random odds over their
-    inclusion odds, and the ones that rank first make up the words still missing. Random numbers are hashes of the seed
-    and doc_id, so reruns agree. The rank at which a source is full is found by four rounds of sums over 8192 rank
-    intervals, without sorting a source or holding it in one task. Rows that tie in rank (the same doc_id) are taken
-    together or not at all. Null ids, sources and weights are allowed (a null weight is 0), empty documents take nothing.
-    """
-    weighted = "weight" in sized.columns
-    if weighted:
-        sized = sized.withColumn("weight", F.coalesce(F.greatest("weight", F.lit(0.0)), F.lit(0.0)).cast("double"))
-        plan = _scales(sized, targets, most)
-    else:
-        sized = sized.withColumn("weight", F.lit(1.0))
-        plan = targets.select(F.col("source").alias("of"), "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("scale"))
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+def _weighed(rows: DataFrame) -> DataFrame:
+    """``weight`` as a number that is not negative; 1 without one."""
+    weight = F.coalesce(F.greatest("weight", F.lit(0.0)), F.lit(0.0)) if "weight" in rows.columns else F.lit(1.0)
+    return rows.withColumn("weight", weight.cast("double"))
+
+
+def _drawn(rows: DataFrame, plan: DataFrame, most: int, seed: str) -> DataFrame:
+    """Adds ``target``, the certain copies ``whole`` and, where one more is a matter of chance, its ``rank``."""
+    rows = _weighed(rows).join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     expected = F.when(F.col("weight") > 0, F.least(F.lit(float(most)), F.col("scale") * F.col("weight"))).otherwise(0.0)
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
             .cast("double") + 0.5) / float(1 << KEY_BITS)
     odds = F.col("draw") / (1 - F.col("draw")) * ((1 - F.col("part")) / F.col("part"))
-    rows = (rows.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
+    return (rows.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
             .withColumn("part", F.col("expected") - F.col("whole")).withColumn("draw", draw)
-            .withColumn("rank", F.when(F.col("part") > 0, F.floor(odds / (1 + odds) * float(1 << KEY_BITS)).cast("long"))))
-    rows = stage(rows.select("doc_id", "source", "size", "target", "whole", "rank"), "ranked")
+            .withColumn("rank", F.when(F.col("part") > 0, F.floor(odds / (1 + odds) * float(1 << KEY_BITS)).cast("long")))
+            .drop("expected", "part", "draw", "weight", "scale"))
 
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """Per source (``of``) the rank at which it is full; a source without a row is taken up to its last rank."""
     state = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("room"))
     state = stage(state.select("source", "room", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("used"), F.lit(None).cast("long").alias("held")), "cut")
     in_order = Window.partitionBy("source").orderBy("bin")
@@ -99,11 +99,36 @@ def copies(sized: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed:
         state = stage(bins.groupBy("source").agg(F.min(F.struct("bin", "upto", "held", "room")).alias("x"))
                       .select("source", F.col("x.room").alias("room"), F.col("x.bin").alias("prefix"),
                               (F.col("x.upto") - F.col("x.held")).alias("used"), F.col("x.held").alias("held")), "cut")
-    # A source without a row here is taken up to its last rank.
-    cut = state.select(F.col("source").alias("of"), F.col("prefix").alias("cut"), (F.col("used") + F.col("held") - F.col("room") < F.col("room") - F.col("used")).alias("with_cut"), F.lit(True).alias("has_cut"))
-    out = rows.join(cut, F.col("source").eqNullSafe(F.col("of")), "left")
+    return state.select(F.col("source").alias("of"), F.col("prefix").alias("cut"), (F.col("used") + F.col("held") - F.col("room") < F.col("room") - F.col("used")).alias("with_cut"), F.lit(True).alias("has_cut"))
+
+
+def _counted(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds ``copies`` to drawn rows."""
+    out = rows.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left")
     extra = F.col("rank").isNotNull() & (F.col("has_cut").isNull() | (F.col("rank") < F.col("cut")) | ((F.col("rank") == F.col("cut")) & F.col("with_cut")))
-    return out.select("doc_id", "source", "size", "target", (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).alias("copies"))
+    return out.withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).drop("of", "cut", "with_cut", "has_cut")
+
+
+def copies(sized: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+    """Adds ``copies`` (0 to ``most``) to rows with ``doc_id, source, size`` and optionally ``weight``.
+
+    A document is expected in ``scale * weight`` copies, at most ``most``; the whole part is certain. Its fraction is the
+    inclusion probability of one more copy: the documents of a source are ranked by their random odds over their
+    inclusion odds, and the ones that rank first make up the words still missing. Random numbers are hashes of the seed
+    and doc_id, so reruns agree. The rank at which a source is full is found by four rounds of sums over 8192 rank
+    intervals, without sorting a source or holding it in one task. Rows that tie in rank (the same doc_id) are taken
+    together or not at all. Null ids, sources and weights are allowed (a null weight is 0), empty documents take nothing.
+    """
+    rows = stage(_drawn(sized, _plan(sized, targets, most), most, seed).select("doc_id", "source", "size", "target", "whole", "rank"), "ranked")
+    return _counted(rows, _cuts(rows)).select("doc_id", "source", "size", "target", "copies")
+
+
+def _sized(docs: DataFrame, weight: Column | None) -> DataFrame:
+    return docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), *([weight.cast("double").alias("weight")] if weight is not None else []))
+
+
+def _targets(sized: DataFrame, cycle, share: float, most: int) -> DataFrame:
+    return stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, most), "targets")
 
 
 def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, weight: Column | None = None) -> DataFrame:
@@ -112,20 +137,24 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: int = MOST_COP
     An empty table gives an empty result; a null or empty text has size 0 and is never taken. Repeated rows are rows of
     their own, though the same doc_id ranks alike. Other columns are not read.
     """
-    sized = stage(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), *([weight.cast("double").alias("weight")] if weight is not None else [])), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stage(source_targets(sources, cycle, share, most), "targets")
+    sized = stage(_sized(docs, weight), "sizes")
+    targets = _targets(sized, cycle, share, most)
     chosen, t = copies(sized, targets, most, seed), targets.select(F.col("source").alias("of"), "source_size")
     return chosen.join(t, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, weight: Column | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them; their order is not defined.
 
-    Copies are looked up by (doc_id, source, size), which decide them, so repeated rows keep their own number.
+    A row's copies follow from its doc_id, source, size and weight and the cut of its source, so texts are not shuffled: the list of
+    sources meets them where they are. Nulls, ties and repeated rows count as in :func:`mix`.
     """
-    chosen = mix(docs, **options).where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "copies")]).distinct()
-    size, n = fresh("mix_row_size", docs), fresh("mix_row_n", docs)
-    rows = docs.withColumn(size, text_size(F.col("text")))
-    joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["mix_doc_id"]) & rows["source"].eqNullSafe(chosen["mix_source"]) & (rows[size] == chosen["mix_size"]))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), chosen["mix_copies"]))).select(*[rows[c] for c in docs.columns])
+    sized = stage(_sized(docs, weight), "sizes")
+    targets = _targets(sized, cycle, share, most)
+    plan = stage(_plan(sized, targets, most), "plan")
+    cuts = stage(_cuts(stage(_drawn(sized, plan, most, seed).select("doc_id", "source", "size", "target", "whole", "rank"), "ranked")), "cuts")
+    # The row travels as one value, so that its columns may have any names.
+    own = [weight.cast("double").alias("weight")] if weight is not None else []
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", text_size(F.col("text")).alias("size"), *own)
+    taken = _counted(_drawn(rows, plan, most, seed), cuts).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
