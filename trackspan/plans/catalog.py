@@ -20,6 +20,8 @@ from ..streaming.messages import write_available
 from ..staging import CHECKPOINT_DIR, delete_at_exit, shared_dir
 from . import report as RP
 
+LOADED_AT = "2001-08-01 06:30:00"
+
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -136,7 +138,8 @@ def project_status_filter(w):
 
 @query
 def ticket_details(w):
-    return T.ticket_details(w.tickets(), "nation_11-1")
+    least = w.tickets().agg(F.min("key")).first()[0]
+    return T.ticket_details(w.tickets(), f" {least.lower()} ")
 
 
 @query
@@ -414,7 +417,7 @@ def drilldown_counts(w):
 @query
 def comprehensive_report(w):
     recent = enrich(T.recent_tickets(w.tickets(), AS_OF, ordered=False))
-    return RP.tall(RP.comprehensive_report(recent, w.epics()))
+    return RP.tall(RP.comprehensive_report(recent, w.epics(), LOADED_AT))
 
 
 # -- windows, rankings ----------------------------------------------------------------------
@@ -673,7 +676,7 @@ def maintained_report(w):
     for wave in waves:
         wave.write.mode("append").parquet(f"{run}/in")
         arrivals = w.spark.readStream.schema(tickets.schema).parquet(f"{run}/in")
-        RS.maintained_report(arrivals, enrich, state, f"{run}/out", f"{run}/checkpoint", w.epics(), period=None).awaitTermination()
+        RS.maintained_report(arrivals, enrich, state, f"{run}/out", f"{run}/checkpoint", w.epics(), period=None, clock=lambda: LOADED_AT).awaitTermination()
     return w.spark.read.parquet(f"{run}/out/batch={len(waves) - 1}")
 
 

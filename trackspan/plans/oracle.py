@@ -61,6 +61,7 @@ SELECT s_suppkey AS query_id, project, CASE s_suppkey % 6 WHEN 0 THEN substr(low
   WHEN 2 THEN p_name || ' qqq ' || p_type
   ELSE replace(replace(replace(replace(lower(summary), 'a', 'x'), 'e', 'x'), 'o', 'x'), 'r', '') END AS title
 FROM supplier JOIN epics ON s_suppkey = p_partkey""",
+    "topk_queries": "SELECT query_id, CASE WHEN query_id % 10 <> 5 THEN project END AS project, title FROM epic_queries",
     "users": """
 SELECT c_custkey AS pos,
   CASE c_custkey % 3 WHEN 0 THEN '5d8b8c8e-' WHEN 1 THEN '557058:' ELSE '712020:' END || c_custkey AS accountId,
@@ -319,9 +320,31 @@ _REPORT = [
     ("total_records", "SELECT count(*) AS total_records FROM {base}", [], ["total_records"]),
     ("epics.epic_progress", _ROLLUP, ["epic_key", "project"], ["tickets", "resolved", "progress"]),
     ("epics.epic_count", "SELECT count(*) AS epic_count FROM epics", [], ["epic_count"]),
+    ("data_freshness", "SELECT epoch(TIMESTAMP '2001-08-01 06:30:00') AS data_freshness", [], ["data_freshness"]),
 ]
 
 
+def _ratios(pairs: str) -> str:
+    """``a, b, ratio`` of the distinct text pairs ``a, b`` that a query gives, for ``b`` of less than 200 characters.
+
+    ``runs`` has how far both texts agree from each place of a and place of b on. An interval of both is parted at its longest
+    common run (the first in a, then in b) into what is left and what is right of it, until nothing is common; the ratio is twice
+    the characters in runs over all characters.
+    """
+    return f"""(WITH RECURSIVE pairs AS MATERIALIZED (SELECT row_number() OVER () AS pid, a, b FROM (SELECT DISTINCT a, b FROM ({pairs}))),
+      a_chars AS (SELECT pid, i, substr(a, i + 1, 1) AS c FROM pairs, range(0, length(a)) r(i)),
+      b_chars AS (SELECT pid, j, substr(b, j + 1, 1) AS c FROM pairs, range(0, length(b)) r(j)),
+      equal AS (SELECT pid, i, j, i - row_number() OVER (PARTITION BY pid, i - j ORDER BY i) AS island FROM a_chars JOIN b_chars USING (pid, c)),
+      runs AS MATERIALIZED (SELECT pid, i, j, max(i) OVER (PARTITION BY pid, i - j, island) - i + 1 AS n FROM equal),
+      parts AS (SELECT pid, CAST(0 AS BIGINT) AS alo, CAST(length(a) AS BIGINT) AS ahi, CAST(0 AS BIGINT) AS blo, CAST(length(b) AS BIGINT) AS bhi, CAST(0 AS BIGINT) AS got FROM pairs
+        UNION ALL SELECT pid, x.alo, x.ahi, x.blo, x.bhi, x.got FROM (
+          SELECT pid, unnest([{{'alo': alo, 'ahi': m[2], 'blo': blo, 'bhi': m[3], 'got': -m[1]}}, {{'alo': m[2] - m[1], 'ahi': ahi, 'blo': m[3] - m[1], 'bhi': bhi, 'got': 0}}]) AS x
+          FROM (SELECT p.pid, alo, ahi, blo, bhi, min([-least(n, ahi - i, bhi - j), i, j]) AS m
+                FROM parts p JOIN runs r ON r.pid = p.pid AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY p.pid, alo, ahi, blo, bhi))),
+      sums AS (SELECT pid, sum(got) AS matched FROM parts GROUP BY pid)
+      SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE CAST(2 * matched AS DOUBLE) / (length(a) + length(b)) END AS ratio FROM pairs JOIN sums USING (pid))"""
+
+
 def _tall() -> str:
     parts = []
     for section, body, keys, metrics in _REPORT:
@@ -388,7 +411,7 @@ def oracle() -> dict[str, str]:
         "search_tickets_dated": """SELECT key, summary, status, assignee, 'https://tracker.example.com/browse/' || key AS url FROM tickets
             WHERE created < TIMESTAMP '1999-01-01'""",
         "project_status_filter": "SELECT key, status FROM tickets WHERE project = 'NATION_3' AND status <> 'Done'",
-        "ticket_details": f"SELECT {_DETAILS} FROM tickets t WHERE key = 'NATION_11-1'",
+        "ticket_details": f"SELECT {_DETAILS} FROM tickets t WHERE key = (SELECT min(key) FROM tickets)",
         "ticket_details_batch": f"""SELECT {_DETAILS.replace('t.key', 'k.key').replace("coalesce(t.description, '')", "CASE WHEN t.key IS NOT NULL THEN coalesce(t.description, '') END")}
             FROM (SELECT DISTINCT unnest(dev_keys) AS key FROM deployment_requests) k LEFT JOIN tickets t ON t.key = k.key""",
         "list_epics": "SELECT key, summary, description, status, assignee, reporter, created, updated, project FROM epics",
@@ -561,6 +584,22 @@ def oracle() -> dict[str, str]:
         "apply_transitions": """SELECT key, t.status AS old_status, coalesce(target, t.status) AS status, transition_id, transition_id IS NOT NULL AS accepted,
               CASE WHEN transition_id IS NULL THEN 'No transition to ''' || new_status || '''. Available: ' || available END AS error
             FROM checked JOIN tickets t ON t.key = ticket_key""",
+        "title_ratios": f"""SELECT query_id, ratio FROM epic_queries q JOIN epics e ON query_id = p_partkey
+            JOIN {_ratios("SELECT lower(trim(title)) AS a, lower(trim(summary)) AS b FROM epic_queries JOIN epics ON query_id = p_partkey")} r
+            ON r.a = lower(trim(title)) AND r.b = lower(trim(summary))""",
+        "resolve_epics": (f"""SELECT t.query_id, t.project, t.title, coalesce(e.key, s.key) AS epic_key,
+              CASE WHEN e.tier = 1 THEN 'contains' WHEN e.tier = 2 THEN 'words' WHEN s.key IS NOT NULL THEN 'ratio' END AS tier, CASE WHEN e.key IS NULL THEN s.ratio END AS ratio
+            FROM epic_queries t LEFT JOIN epic_tiers e ON e.project = t.project AND e.q = lower(trim(t.title))
+            LEFT JOIN (SELECT h.project, h.q, h.key, ratio FROM epic_hits h JOIN {_ratios("SELECT h.q AS a, h.s AS b FROM epic_hits h LEFT JOIN epic_tiers x ON x.project = h.project AND x.q = h.q WHERE x.q IS NULL AND h.s <> ''")} r
+              ON r.a = h.q AND r.b = h.s WHERE ratio >= 0.5 QUALIFY row_number() OVER (PARTITION BY h.project, h.q ORDER BY ratio DESC, h.created DESC, h.key) = 1) s
+            ON s.project = t.project AND s.q = lower(trim(t.title))""", {"titles": "SELECT project, title FROM epic_queries"}),
+        "epic_title_topk": (f"""SELECT query_id, project, title, epic_key, epic_title, score, CAST(rank AS INTEGER) AS rank FROM (
+            SELECT t.query_id, t.project, t.title, e.key AS epic_key, trim(e.summary) AS epic_title,
+              CASE WHEN contains(lower(trim(e.summary)), lower(trim(t.title))) THEN 1.0 ELSE r.ratio END AS score,
+              row_number() OVER (PARTITION BY t.query_id ORDER BY CASE WHEN contains(lower(trim(e.summary)), lower(trim(t.title))) THEN 1.0 ELSE r.ratio END DESC, e.created DESC, e.key) AS rank
+            FROM topk_queries t JOIN epics e ON t.project IS NULL OR e.project = t.project
+            JOIN {_ratios("SELECT lower(trim(t.title)) AS a, lower(trim(e.summary)) AS b FROM topk_queries t JOIN epics e ON t.project IS NULL OR e.project = t.project")} r
+            ON r.a = lower(trim(t.title)) AND r.b = lower(trim(e.summary))) WHERE rank <= 10"""),
         "reply_rows": """SELECT 'https://chat.example.com/v3/conversations/' || conversation_id || '/activities/' || id AS reply_url, 'message' AS type,
             'Re: ' || text AS text, 'bot' AS from_id, role AS recipient_id, id AS replyToId FROM messages""",
         "message_stream": """SELECT conv_id, turn, trim(text, e' \\n\\t\\r') AS text FROM conversations

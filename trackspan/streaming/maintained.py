@@ -118,7 +118,7 @@ class ReportState:
 
 
 def maintained_report(arrivals: DataFrame, prepare: Callable[[DataFrame], DataFrame], state: ReportState, out: str, checkpoint: str,
-                      epics: DataFrame | None = None, period: str | None = "5 minutes", clock: Callable[[], datetime] | None = None) -> StreamingQuery:
+                      epics: DataFrame | None = None, period: str | None = "5 minutes", clock: Callable[[], datetime | str] | None = None) -> StreamingQuery:
     """Writes the tall report over all tickets so far to ``out/batch=<id>`` for each batch of arrivals.
 
     ``prepare`` enriches the arrived rows. A ticket may arrive again with other values; the version updated last holds, and one
