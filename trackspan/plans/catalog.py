@@ -16,8 +16,9 @@ from ..sources.schemas import BOARD, CHAT_TURN, PAGE, PROJECT, SPRINT, USER, USE
 from ..sources.warehouse import AS_OF, BASE_URL, EMAIL_DOMAIN, Warehouse
 from ..streaming import maintained as RS
 from ..streaming.maintained import ReportState
+from ..streaming.memory import ChatMemory
 from ..streaming.messages import write_available
-from ..staging import CHECKPOINT_DIR, delete_at_exit, shared_dir
+from ..staging import CHECKPOINT_DIR, Snapshot, delete_at_exit, shared_dir, stage
 from . import report as RP
 
 LOADED_AT = "2001-08-01 06:30:00"
@@ -680,6 +681,34 @@ def maintained_report(w):
     return w.spark.read.parquet(f"{run}/out/batch={len(waves) - 1}")
 
 
+@query
+def last_turns_stream(w):
+    """The last turns per conversation, kept while the history arrives in three waves that part every conversation."""
+    run = _run_folder(w.spark, "memory")
+    memory = ChatMemory(w.spark, f"{run}/memory", n=5, every=2)
+    for wave in range(3):
+        w.chat_history().where((F.col("conv_id") + F.col("turn")) % 3 == wave).write.mode("append").parquet(f"{run}/in")
+        memory.keep(w.spark.readStream.schema(CHAT_TURN).parquet(f"{run}/in"), f"{run}/checkpoint", period=None).awaitTermination()
+    return memory.current()
+
+
+@query
+def snapshot_overview(w):
+    """The overview of a snapshot that two sessions read while it is loaded again."""
+    snapshot = Snapshot(lambda: _enriched(w))
+    with snapshot.reading() as before, snapshot.reading(w.spark.newSession(), force_refresh=True) as after:
+        numbers = A.overview_metrics(before).unionByName(w.spark.createDataFrame(A.overview_metrics(after).collect(), A.overview_metrics(before).schema))
+        result = stage(numbers.distinct(), "overview")
+    snapshot.release()
+    return result
+
+
+@query
+def limits_clamped(w):
+    """A limit below one is one; a minimum below zero is zero."""
+    return R.top_assignees_by(R.min_tickets_filter(_stats(w), -3), "total_tickets", 0)
+
+
 @query
 def resolution_trend_of_blocks(w):
     return TB.trend_of_blocks(TB.time_blocks(A.resolution_series(_enriched(w)), "updated", "tickets_resolved"), "resolution_trend")

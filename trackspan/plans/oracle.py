@@ -493,6 +493,10 @@ def oracle() -> dict[str, str]:
         "comprehensive_report": (_tall(), {"base": "recent"}),
         "last_n_turns": """SELECT conv_id, turn, role, text FROM conversations
             QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5""",
+        "last_turns_stream": """SELECT conv_id, turn, role, text FROM conversations
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5""",
+        "snapshot_overview": _OVERVIEW,
+        "limits_clamped": _top("performance", "total_tickets DESC, assignee", 1),
         "series_index": "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS idx FROM (SELECT DISTINCT ts FROM events)",
         "top_assignees": _TOP_ASSIGNEES,
         "most_efficient": _EFFICIENT,
