@@ -1,10 +1,10 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 Similarity of two texts is one minus the edit distance of their word sequences over the longer length. Order MinHash
-samples, per hash function, the ``PICKED`` k-mers of five words with the least hash and those with the greatest, each labelled by
-its occurrence, and keeps them in text order; texts that agree in one such tuple are candidates. Texts of less than ``LONG`` words,
-whose few k-mers make tuples a matter of chance, are also keyed by single least k-mers. Texts of up to ``EXACT`` words are keyed
-by what is left of them after few deletions too, which misses no similar pair of such texts.
+samples, per hash function, the ``PICKED`` k-mers of five words with the least hash, each labelled by its occurrence, and
+keeps them in text order; texts that agree in one such tuple are candidates. Longer texts also have tuples of the k-mers with the
+greatest hash; shorter ones, whose few k-mers make tuples a matter of chance, are also keyed by single least k-mers (``LAYOUT``).
+Texts of up to ``EXACT`` words are keyed by what is left of them after few deletions too, which misses no similar pair of such texts.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ ship(__name__)
 
 SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, PICKED = 64, 2
-LONG, SINGLES = 100, 64
+# Where numbers of a sketch stand, and the texts, by number of words, that have them. Two similar texts of at least 100 words both have the
+# second part, two of less both have the third, and two of which one has less than 40 both have the fourth.
+LAYOUT = ((0, 64, 1, 1 << 62), (64, 104, 80, 1 << 62), (104, 120, 1, 125), (120, 168, 1, 50))
+WIDTH = 168
 EXACT = 15
 BINS = 512
 TILE = 1000
 CHUNK = 1 << 15
 SKETCH = "doc_id long, key binary, n_words long, bins binary, marks binary, sketch array<long>"
-SEEDS = mix64(np.arange(1, 2 * FUNCTIONS + SINGLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SEEDS = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def kmers(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -55,9 +58,14 @@ def kmers(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix64(out)
 
 
+def places_of(n_words: int) -> np.ndarray:
+    """The places of a whole sketch that a text of that length has."""
+    return np.concatenate([np.arange(first, end) for first, end, least, most in LAYOUT if least <= n_words < most])
+
+
 def sketch_of(codes: np.ndarray) -> np.ndarray:
-    """One 64-bit number per sketch: for every hash function its least k-mers in text order, then for every one its greatest; of a text
-    of less than ``LONG`` words also the least k-mer alone, for the first functions."""
+    """One 64-bit number per place that the text has: the least k-mers of each hash function in text order, the greatest ones of
+    the first functions, the least one alone."""
     labelled = kmers(codes)
     if not len(labelled):
         return np.empty(0, np.int64)
@@ -86,13 +94,12 @@ def sketch_of(codes: np.ndarray) -> np.ndarray:
         values, places = (np.stack(x, 1) for x in zip(*found))
         places = np.take_along_axis(places, np.argsort(values, axis=1, kind="stable")[:, :PICKED], 1)
         tuples.append(places)
-    out = SEEDS[:2 * FUNCTIONS].copy()
-    for column in np.sort(np.concatenate(tuples), axis=1).T:
-        out = mix64(out ^ labelled[column])
-    if len(codes) < LONG:
-        single = mix64(SEEDS[2 * FUNCTIONS:] ^ labelled[tuples[0][:SINGLES, 0]])
-        out = np.concatenate([out, single])
-    return out.view(np.int64)
+    low, high = (np.sort(t, axis=1) for t in tuples)
+    out = SEEDS.copy()
+    for begin, end, picked in ((0, 64, low), (64, 104, high), (104, 168, tuples[0][:, :1])):
+        for column in picked[:end - begin].T:
+            out[begin:end] = mix64(out[begin:end] ^ labelled[column])
+    return out[places_of(len(codes))].view(np.int64)
 
 
 def _marks(sketch: np.ndarray) -> np.ndarray:
@@ -268,13 +275,11 @@ def verified(near: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -
     return joined.mapInArrow(align, "a long, b long")
 
 
-def _mark_rows(packed: list[bytes]) -> np.ndarray:
-    """A row of marks per text; a long text's missing ones are numbers that no other row has."""
-    width = 2 * FUNCTIONS + SINGLES
-    rows = np.repeat(np.arange(len(packed), dtype=np.uint64)[:, None], width, axis=1) + np.uint64(1 << 32)
+def _mark_rows(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The marks of a text per row, at their places; where a text has none stands a number that no other row has."""
+    rows = np.repeat(np.arange(len(packed), dtype=np.uint64)[:, None], WIDTH, axis=1) + np.uint64(1 << 32)
     for i, raw in enumerate(packed):
-        own = np.frombuffer(raw, "<u4")
-        rows[i, :len(own)] = own
+        rows[i, places_of(int(sizes[i]))] = np.frombuffer(raw, "<u4")
     return rows
 
 
@@ -292,7 +297,7 @@ def _tile_pairs(similarity: float):
         halves, square = table.column("half").to_numpy(), table.column("square").to_numpy(zero_copy_only=False)
         bucket = _marks(table.column("h").to_numpy())
         sizes, counts = _counts(table.column("bins").to_pylist())
-        marks = _mark_rows(table.column("marks").to_pylist())
+        marks = _mark_rows(table.column("marks").to_pylist(), sizes)
         found_a, found_b = [], []
         for begin, end in zip(bounds[:-1], bounds[1:]):
             for i in range(begin, end - 1):
