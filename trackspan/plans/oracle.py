@@ -609,4 +609,6 @@ def oracle() -> dict[str, str]:
         "message_stream": """SELECT conv_id, turn, trim(text, e' \\n\\t\\r') AS text FROM conversations
             WHERE role = 'user' AND trim(text, e' \\n\\t\\r') <> ''""",
     }
+    for name in ("resolve_users_ranked", "resolve_users_simple", "search_users"):
+        q[name.replace("_ranked", "") + "_indexed"] = q[name]
     return {name: _sql(v) if isinstance(v, str) else _sql(v[0], **v[1]) for name, v in q.items()}
