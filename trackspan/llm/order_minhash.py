@@ -32,7 +32,7 @@ LAYOUT = ((0, 64, 1, 1 << 62), (64, 104, 80, 1 << 62), (104, 120, 1, 125), (120,
 WIDTH = 168
 EXACT = 15
 BINS = 512
-TILE = 1000
+TILE = 2000
 CHUNK = 1 << 15
 SKETCH = "doc_id long, key binary, n_words long, bins binary, marks binary, sketch array<long>"
 SEEDS = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -305,6 +305,8 @@ def _tile_pairs(similarity: float):
                 # Tiles off the diagonal compare the two halves only.
                 live = (roots[others] != roots[i]) & (square[i] | (halves[others] != halves[i]))
                 others = others[live]
+                apart = np.abs(sizes[others] - sizes[i])
+                others = others[apart <= ((1 - similarity) * np.maximum(sizes[others], sizes[i]) + 1e-9).astype(np.int64)]
                 if not len(others):
                     continue
                 alike = marks[others] == marks[i]
