@@ -33,7 +33,7 @@ ship(__name__)
 END_ID = 1
 CACHE_PIECES = 250_000
 BATCH_CHARS = 1 << 20
-SHARED_CHARS = 1 << 22  # texts whose pieces are numbered together
+SHARED_CHARS = 1 << 21  # texts whose pieces are numbered together
 NULL_ID = -(1 << 63)
 PART = "part long, n_docs long, n_tokens long"
 SPAN = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -98,6 +98,16 @@ class WordEncoder:
         plain = not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"])
         return spaces and known and keeps and plain
 
+    @staticmethod
+    def levelled(texts: pa.Array) -> pa.Array:
+        """Texts with fewer different pieces and the same ids: in lower case, full stops and commas parted from the word they follow.
+
+        The tokenizer lowers letters itself and parts marks from letters and digits. Texts are left alone where lowering is not a
+        letter by letter matter or a special token might come of it.
+        """
+        level = pc.replace_substring_regex(pc.utf8_lower(texts), r"([\pL\pN])([.,]+)([ \n]|$)", r"\1 \2\3")
+        return pc.if_else(pc.match_substring_regex(texts, "[^\\x00-\\x{24F}]|\u0130|<"), texts, level)
+
     def plain(self, piece: str) -> tuple[str, str]:
         """A piece without the full stops and commas after its last letter, in lower case, and those marks.
 
@@ -155,7 +165,7 @@ class WordEncoder:
         if self.whole:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         # Split, number and look up in Arrow: Python sees each different piece of the batch once.
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        split = pc.split_pattern(pc.replace_substring(self.levelled(pa.array(texts, pa.string())), "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
         pieces = numbered.dictionary.to_pylist()
         missing = {p for p in pieces if p not in self.cache}
@@ -217,6 +227,7 @@ def _encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[in
             rows, held = [], 0
     for (i, _), ids in zip(rows, enc.packed([t for _, t in rows])):
         yield i, [ids, end]
+    pa.default_memory_pool().release_unused()
 
 
 def _writer(folder: str, path: str, end_id: int):
