@@ -34,6 +34,7 @@ EXACT = 15
 BINS = 512
 TILE = 2000
 CHUNK = 1 << 15
+SLOTS = 1 << 20
 SKETCH = "doc_id long, key binary, n_words long, bins binary, marks binary, sketch array<long>"
 SEEDS = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -256,6 +257,9 @@ def verified(near: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -
     """
     wanted = stage(near.select("a").union(near.select("b")).distinct().select(F.col("a").alias("node")), "wanted")
     own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
+    # Texts that nobody asks for stay where they are: the slots of the ids asked for are SLOTS numbers at most, whatever their count.
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int").alias("slot")
+    own = own.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
     # Rows of one id should be one text; if they are not, the least text stands for the id.
     texts = stage(own.join(wanted, "node", "left_semi"), "texts")
     texts = texts.groupBy("node").agg(F.min("text").alias("text")) if texts.count() > wanted.count() else texts
