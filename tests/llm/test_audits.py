@@ -63,6 +63,13 @@ def test_evidence_grows_with_scores_and_falls_with_length():
     assert abs(X.evidence([30.0], 100, 1.0, 0.1) - (30 - math.log(10))) < 1e-6
 
 
+def test_evidence_of_scores_beyond_the_range_of_doubles():
+    base = math.log(10)
+    for score in (690.0, 702.0, 705.0, 746.0, 800.0, 1e6):
+        assert abs(X.evidence([score], 100, 1.0, 0.1) - (score - base)) < 1e-9 * score
+    assert X.evidence([800.0, 790.0], 100, 1.0, 0.1) > X.evidence([800.0], 100, 1.0, 0.1)
+
+
 def test_the_law_fits_segments_of_random_texts():
     """With words drawn by their shares, the number of segments beyond a high score is about what the law says."""
     rnd = np.random.default_rng(3)

@@ -71,7 +71,8 @@ def evidence(scores: Iterable[float], n_words: int, rate: float, density: float)
     for r, score in enumerate(sorted(scores, reverse=True), 1):
         total += rate * score - base
         if r == 1:
-            own = -math.log(-math.expm1(-math.exp(-total))) if total > -3 else 0.0
+            # Beyond 700 the inner exponential leaves the range of doubles, and the law is its own argument to all digits.
+            own = total if total > 700 else -math.log(-math.expm1(-math.exp(-total))) if total > -3 else 0.0
         elif total > r:
             own = total - (r - 1) * (math.log(total) + math.log(2)) + math.lgamma(r + 1) + math.lgamma(r)
         else:
