@@ -111,3 +111,27 @@ def test_list_is_newest_first(spark):
         "*", "'' description", "'' status", "'' assignee", "'' reporter", "created updated")
     assert [r.key for r in E.list_epics(e).collect()] == ["A-2", "B-1", "A-1"]
     assert [r.key for r in E.list_epics(e, "A").collect()] == ["A-2", "A-1"]
+
+
+def test_equal_titles_are_scored_once(spark, monkeypatch):
+    """A title that many epics bear, some under one key, goes to the similarity search as one row; its epics come back."""
+    sent, best = [], E._best_titles
+    monkeypatch.setattr(E, "_best_titles", lambda asked, titles, *a: sent.append(titles.count()) or best(asked, titles, *a))
+    e = epics_table(spark, *[(f"E-{i:03}", "P", "same title") for i in range(40)], ("E-900", "P", "sane titel"), ("E-900", "P", "sane titel"), ("E-901", "P", "other"))
+    q = spark.createDataFrame([(1, "P", "sane title"), (2, None, "samx title")], "query_id long, project string, title string")
+    got = E.epic_title_topk(q, e, limit=5).groupBy("query_id", "rank", "epic_key").count().orderBy("query_id", "rank").collect()
+    assert sent == [6]  # three titles in the project's scope and in that of all
+    assert [r.epic_key for r in got if r.query_id == 2] == ["E-039", "E-038", "E-037", "E-036", "E-035"]
+    # Both rows of a key that comes twice take a place, and each meets both names.
+    assert [(r.epic_key, r["count"]) for r in got if r.query_id == 1] == [("E-900", 2), ("E-900", 2), ("E-039", 1), ("E-038", 1), ("E-037", 1)]
+
+
+def test_bounds_of_a_tile_are_sums_of_lesser_counts():
+    import numpy as np
+    from trackspan.functions import ratio as R
+    rnd = random.Random(9)
+    texts = ["", "a" * 3000, *["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(0, 30))) for _ in range(40)]]
+    for part in R.profiles(texts)[1:]:
+        assert (R.shared_counts(part[:7], part) == np.minimum(part[:7, None, :], part[None, :, :]).sum(axis=2)).all()
+    bounds, _ = R.tile_bounds(R.profiles(texts[:7]), R.profiles(texts))
+    assert all(SequenceMatcher(None, a, b).ratio() <= bounds[i][j] + 1e-12 for i, a in enumerate(texts[2:7], 2) for j, b in enumerate(texts))

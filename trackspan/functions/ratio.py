@@ -15,7 +15,8 @@ from pyspark.sql import functions as F, types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHAR_BINS, PAIR_BINS = 64, 256
-SCORED = "scope string, q string, score double, age long, key string"
+QUERIES_AT_ONCE, LEVELS_AT_ONCE = 256, 1024
+SCORED = "scope string, q string, title string, score double, age long, key string"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -38,20 +39,40 @@ def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, chars, pairs
 
 
-def upper_bounds(query: tuple, row: int, titles: tuple) -> np.ndarray:
-    """A value no ratio of this query with each title can exceed.
+def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum over bins of the lesser count, for every row of ``a`` and every row of ``b``.
+
+    The lesser of two counts is the number of levels that both reach, so the sums are a product of matrices of ones and zeros.
+    """
+    most = np.minimum(a.max(axis=0), b.max(axis=0))
+    bins = np.repeat(np.arange(len(most)), most)
+    level = np.arange(len(bins)) - np.repeat(np.cumsum(most) - most, most) + 1
+    sums = np.zeros((len(a), len(b)), dtype=np.float32)
+    for k in range(0, len(bins), LEVELS_AT_ONCE):
+        some, at = bins[k:k + LEVELS_AT_ONCE], level[k:k + LEVELS_AT_ONCE]
+        sums += (a[:, some] >= at).astype(np.float32) @ (b[:, some] >= at).astype(np.float32).T
+    return sums.astype(np.int64)
+
+
+def tile_bounds(queries: tuple, titles: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Per query and title a value that their ratio cannot exceed, and the number of characters they share at most.
 
     The matched characters M are at most the shared character count. Between two matching blocks at
     least one character of either text is unmatched, so there are at most la + lb - 2M + 1 blocks and
     at least M minus that many shared neighbouring pairs, hence 3M <= pairs + la + lb + 1. Hashing
     counts into bins can only raise both sums.
     """
-    q_len, q_chars, q_pairs = (part[row] for part in query)
+    q_len, q_chars, q_pairs = queries
     t_len, t_chars, t_pairs = titles
-    total = q_len + t_len
-    matched = np.minimum(np.minimum(t_chars, q_chars).sum(axis=1),
-                         (np.minimum(t_pairs, q_pairs).sum(axis=1) + total + 1) // 3)
-    return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0)
+    total = q_len[:, None] + t_len[None, :]
+    chars = shared_counts(q_chars, t_chars)
+    matched = np.minimum(chars, (shared_counts(q_pairs, t_pairs) + total + 1) // 3)
+    return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0), chars
+
+
+def upper_bounds(query: tuple, row: int, titles: tuple) -> np.ndarray:
+    """A value no ratio of this query with each title can exceed."""
+    return tile_bounds(tuple(part[row:row + 1] for part in query), titles)[0][0]
 
 
 def best_of_tile(k: int, floor: float, contains_is_one: bool):
@@ -59,7 +80,7 @@ def best_of_tile(k: int, floor: float, contains_is_one: bool):
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         # Plain objects: string columns of a pandas type of their own cannot be sent when empty.
-        return pd.DataFrame(rows, columns=["scope", "q", "score", "age", "key"], dtype=object)
+        return pd.DataFrame(rows, columns=["scope", "q", "title", "score", "age", "key"], dtype=object)
 
     def score(key, queries: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or titles.empty:
@@ -70,22 +91,27 @@ def best_of_tile(k: int, floor: float, contains_is_one: bool):
         matchers: dict[int, SequenceMatcher] = {}
         out = []
         for row, q in enumerate(asked):
-            bounds = upper_bounds(q_profiles, row, t_profiles)
+            if row % QUERIES_AT_ONCE == 0:
+                block, shared = tile_bounds(tuple(part[row:row + QUERIES_AT_ONCE] for part in q_profiles), t_profiles)
+            bounds, inside = block[row % QUERIES_AT_ONCE], set()
             if contains_is_one:
-                bounds = bounds.copy()
-                bounds[[i for i, t in enumerate(texts) if q in t]] = 1.0
+                inside = {i for i in np.flatnonzero(shared[row % QUERIES_AT_ONCE] == len(q)).tolist() if q in texts[i]}
+                bounds[list(inside)] = 1.0
             best: list[tuple[float, int]] = []
-            for i in (-bounds).argsort(kind="stable"):
+            for i in (-bounds).argsort(kind="stable").tolist():
                 if bounds[i] < floor or (len(best) == k and bounds[i] < best[0][0]):
                     break
-                matcher = matchers.get(i)
-                if matcher is None:
-                    matcher = matchers[i] = SequenceMatcher(None, "", texts[i])
-                matcher.set_seq1(q)
-                value = 1.0 if contains_is_one and q in texts[i] else matcher.ratio()
+                if i in inside:
+                    value = 1.0
+                else:
+                    matcher = matchers.get(i)
+                    if matcher is None:
+                        matcher = matchers[i] = SequenceMatcher(None, "", texts[i])
+                    matcher.set_seq1(q)
+                    value = matcher.ratio()
                 if value >= floor:
-                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (value, -int(i)))
-            out += [(key[0], q, value, int(titles["age"][-i]), titles["key"][-i]) for value, i in best]
+                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (value, -i))
+            out += [(key[0], q, texts[-i], value, int(titles["age"][-i]), titles["key"][-i]) for value, i in best]
         return frame(out)
 
     return score

@@ -156,19 +156,24 @@ def epic_title_topk(queries: DataFrame, epics: DataFrame, title: str = "title",
             .withColumn("scope", F.explode(F.array(X.norm_upper("project"), F.lit(_ALL))))
             .join(scopes, "scope", "left_semi").withColumn("title", F.lower("shown")))
 
-    order = Window.partitionBy("scope", "q").orderBy("age", "key")
-    inside = (lookup.occurrences(each.select("scope", "title", "age", "key"), "title", asked, "q", ["scope"])
-              .where(F.expr("instr(title, q) = start")))
-    full = stage(inside.select("scope", "q", "age", "key").withColumn("rank", F.row_number().over(order))
-                 .where(F.col("rank") <= k), "contained")
-    enough = full.where(F.col("rank") == k).select("scope", "q")
-    # Equal titles score alike, so of each title only its first k epics can be among the k best.
+    # Equal titles contain and score alike, so each is looked at once, and only its first k epics can be among the k best.
     by_title = Window.partitionBy("scope", "title").orderBy("age", "key")
-    titles = (each.withColumn("_n", F.row_number().over(by_title)).where(F.col("_n") <= k)
-              .select("scope", "title", F.struct("age", "key").alias("epic")))
-    scored = _best_titles(asked.join(enough, ["scope", "q"], "left_anti"), titles, k, 0.0, True)
-    best = (full.join(enough, ["scope", "q"], "left_semi").withColumn("score", F.lit(1.0))
-            .unionByName(scored.select("scope", "q", "age", "key", "rank", "score")))
+    bearers = stage(each.select("scope", "title", "age", "key").withColumn("_n", F.row_number().over(by_title)).where(F.col("_n") <= k), "bearers")
+    titles = bearers.where("_n = 1").select("scope", "title", F.struct("age", "key").alias("epic"))
+    epics_of_titles = bearers.drop("_n")
+    order = Window.partitionBy("scope", "q").orderBy(F.col("score").desc(), "age", "key")
+
+    def first_epics(found: DataFrame) -> DataFrame:
+        """The k best epics per query of titles with their scores; they bear the k best titles."""
+        return (found.select("scope", "q", "title", "score").join(epics_of_titles, ["scope", "title"])
+                .select("scope", "q", "age", "key", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k))
+
+    inside = (lookup.occurrences(titles.select("scope", "title"), "title", asked, "q", ["scope"])
+              .where(F.expr("instr(title, q) = start")).withColumn("score", F.lit(1.0)))
+    full = stage(first_epics(inside), "contained")
+    enough = full.where(F.col("rank") == k).select("scope", "q")
+    scored = first_epics(_best_titles(asked.join(enough, ["scope", "q"], "left_anti"), titles, k, 0.0, True))
+    best = full.join(enough, ["scope", "q"], "left_semi").unionByName(scored)
     names = epics.select("key", X.strip(F.coalesce("summary", F.lit(""))).alias("epic_title"))
     return (given.join(best.withColumnsRenamed({"scope": "_scope", "q": "_q"}), ["_scope", "_q"])
             .join(names, "key").withColumnRenamed("key", "epic_key").drop("_scope", "_q", "age"))
