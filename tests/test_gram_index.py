@@ -63,3 +63,18 @@ def test_an_empty_index(spark, tmp_path):
     assert found(index, spark, ["a", "abc"]) == []
     index.update(0, spark.createDataFrame([], TEXTS))
     assert found(index, spark, ["a", "abc"]) == []
+
+
+def test_postings_do_not_meet_needles_one_by_one(spark, tmp_path, monkeypatch):
+    """Needles as long that have a gram at the same place are looked up together: lookups do not grow with the needles."""
+    from trackspan.operators import gram_index as G
+    texts = [(i, f"name c{i:05}", "t") for i in range(300)]
+    index = SubstringIndex(spark, str(tmp_path), "tag string", buckets=4)
+    index.update(0, spark.createDataFrame(texts, TEXTS))
+    shapes, stage = [], G.stage
+    monkeypatch.setattr(G, "stage", lambda df, name: shapes.append((name, df.count())) or stage(df, name))
+    for n in (40, 400):
+        needles = [f"name c{i * 7 % 1000:05}" for i in range(n)]
+        assert found(index, spark, needles) == by_hand(texts, sorted(set(needles)))
+    counts = [n for name, n in shapes if name in ("shapes", "rarest")]
+    assert len(counts) == 2 and counts[0] <= 40 and counts[1] <= 10

@@ -1,9 +1,10 @@
 """A kept index for substring lookups.
 
 ``lookup`` cuts every text at every position for each call. An index does that once per text: a posting for every position
-holds the three characters there, the text's id and the position. A needle is then looked up by its rarest gram, of which
-every occurrence in a text is an occurrence of the needle or not, as the text itself tells. Needles shorter than a gram are
-looked up by the grams they begin.
+holds the three characters there, the text's id and the position. A needle is then looked up by one of its grams, a rare one:
+where the gram stands in a text, the text has so many characters that may be the needle, and they are joined to the needles.
+Needles as long with the same gram at the same place are looked up at once, so the rows do not grow with their number.
+Needles shorter than a gram are looked up by the grams they begin.
 
 The index is a pair of logs in a shared folder, postings by hash bucket of the gram, so lookups read the buckets of their grams
 alone. New and changed texts are added by batch; a changed text's old postings stay until the next base and
@@ -71,17 +72,21 @@ class SubstringIndex:
         postings = self.postings.before(1 << 62)
         whole, short = wanted.where(F.length(needle) >= GRAM), wanted.where(F.length(needle) < GRAM)
         at = F.explode(F.sequence(F.lit(1), F.length(needle) - (GRAM - 1)))
-        grams = stage(whole.select(needle, at.alias("offset")).withColumn("gram", F.col(needle).substr(F.col("offset"), F.lit(GRAM))), "grams")
+        grams = stage(whole.select(needle, at.alias("offset")).withColumns(
+            {"gram": F.col(needle).substr(F.col("offset"), F.lit(GRAM)), "size": F.length(needle)}), "grams")
         near = postings.where(F.col("bucket").isin(self._buckets_of(grams) or [-1])) if not grams.isEmpty() else postings.where("false")
         held = near.join(grams.select("gram").distinct(), "gram", "left_semi")
         counts = stage(held.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
-        # A needle with a gram that no text has is nowhere; of the others the rarest gram is looked up.
-        rated = grams.join(counts, "gram", "left").groupBy(needle).agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "gram")).alias("r")).where("r.n > 0").select(needle, "r.offset", "r.gram")
-        rarest = stage(rated, "rarest")
-        found = near.join(rarest, "gram").select("id", needle, (F.col("start") - F.col("offset") + 1).alias("start")).where("start > 0")
+        # A needle with a gram that no text has is nowhere. Needles as long that have a gram at the same offset share its postings:
+        # of a needle's grams the one is looked up that has the fewest for each of them, and no posting meets the needles one by one.
+        shares = grams.groupBy("gram", "offset", "size").agg(F.count("*").alias("m"))
+        rated = grams.join(counts, "gram", "left").join(shares, ["gram", "offset", "size"]).groupBy(needle).agg(
+            F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min(F.struct(F.expr("n / m").alias("cost"), "offset", "gram", "size")).alias("r"))
+        shapes = stage(rated.where("least > 0").select("r.gram", "r.offset", "r.size").distinct(), "shapes")
+        found = near.join(shapes, "gram").select("id", (F.col("start") - F.col("offset") + 1).alias("start"), "size").where("start > 0")
         if not short.isEmpty():
-            begun = postings.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(1), F.least(F.length("gram"), F.lit(GRAM - 1)))).alias("_n"))
-            begun = begun.withColumn(needle, F.col("gram").substr(F.lit(1), F.col("_n"))).join(short, needle, "left_semi").select("gram", needle)
-            found = found.unionByName(postings.join(begun, "gram").select("id", needle, "start"))
-        return self.current().join(found.distinct(), "id").where(F.col("text").substr(F.col("start"), F.length(needle)) == F.col(needle)).drop("id")
+            begun = postings.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(1), F.least(F.length("gram"), F.lit(GRAM - 1)))).alias("size"))
+            begun = begun.withColumn(needle, F.col("gram").substr(F.lit(1), F.col("size"))).join(short, needle, "left_semi").select("gram", "size")
+            found = found.unionByName(postings.join(begun, "gram").select("id", "start", "size"))
+        cut = self.current().join(found.repartition("id").distinct(), "id").withColumn(needle, F.col("text").substr(F.col("start"), F.col("size")))
+        return cut.where(F.length(needle) == F.col("size")).join(wanted, needle, "left_semi").drop("id", "size")
