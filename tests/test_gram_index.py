@@ -78,3 +78,14 @@ def test_postings_do_not_meet_needles_one_by_one(spark, tmp_path, monkeypatch):
         assert found(index, spark, needles) == by_hand(texts, sorted(set(needles)))
     counts = [n for name, n in shapes if name in ("shapes", "rarest")]
     assert len(counts) == 2 and counts[0] <= 40 and counts[1] <= 10
+
+
+def test_positions_are_dropped_by_what_few_characters_begin(spark, monkeypatch):
+    """Thousands of heads begin with few triples of characters, and these part positions before heads, which may be too many to broadcast."""
+    kept, stage = {}, lookup.stage
+    monkeypatch.setattr(lookup, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    needles = [f"c{i}" for i in range(0, 3000, 3)] + ["ab", "é", ""]
+    texts = [(i, f"name c{i} ab", "t") for i in range(40)] + [(90, None, "none"), (91, "", "empty"), (92, "é", "one")]
+    plain = lookup.occurrences(spark.createDataFrame(texts, TEXTS), "text", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle")
+    assert rows(plain, "needle", "tag", "start") == by_hand(texts, needles)
+    assert kept["heads"].count() == 1002 and kept["begins"].count() <= 110

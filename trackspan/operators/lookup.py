@@ -1,11 +1,11 @@
 """Substring lookups as equi-joins.
 
-``needle in text`` is a nested loop when written as a join condition. Here needle and text meet in two
+``needle in text`` is a nested loop when written as a join condition. Here needle and text meet in three
 equi-joins instead:
 
-1. each text position whose next few characters are the head of some needle (heads are unique, so a
-   position meets at most one row per head length),
-2. from those positions, the substrings as long as the needles with that head, matched to the needles.
+1. each text position whose next three characters begin some head, the first few characters of a needle,
+2. of those positions the ones where a whole head stands (heads are unique, so a position meets at most one row per head length),
+3. from those positions, the substrings as long as the needles with that head, matched to the needles.
 
 The work is linear in the texts, whatever matches nothing is dropped early, and "first match" is a ``min``
 per needle, so a needle found in a third of all rows is combined on the map side and never listed. Spark
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..staging import stage
 
-HEAD = 8
+HEAD, BEGIN = 8, 3
 NEAR = 500
 
 
@@ -32,18 +32,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def substrings(texts: DataFrame, text: str, needles: DataFrame, needle: str, scope: Sequence[str] = ()) -> DataFrame:
     """Substrings of ``text`` (column ``needle``, one-based ``start``) that may be needles of the same scope."""
     size, start = F.length(text), F.col("start")
-    heads = (needles.where(F.length(needle) > 0).groupBy(*scope, F.substring(needle, 1, HEAD).alias("_head"))
-             .agg(F.collect_set(F.length(needle)).alias("_sizes")))
-    head_sizes = heads.agg(F.sort_array(F.collect_set(F.length("_head")))).scalar()
+    heads = stage(needles.where(F.length(needle) > 0).groupBy(*scope, F.substring(needle, 1, HEAD).alias("_head"))
+                  .agg(F.collect_set(F.length(needle)).alias("_sizes")), "heads")
+    # Heads may be many, what they begin with is not: most positions are dropped before any is shuffled.
+    begins = stage(heads.groupBy(*scope, F.substring("_head", 1, BEGIN).alias("_begin"))
+                   .agg(F.collect_set(F.length("_head")).alias("_lengths")), "begins")
+    begin_sizes = begins.agg(F.sort_array(F.collect_set(F.length("_begin")))).scalar()
     return (spread(texts)
-            .withColumn("_head_sizes", head_sizes)
-            .withColumn("_h", F.explode(F.filter("_head_sizes", lambda h: h <= size)))
-            .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("_h") + 1)))
+            .withColumn("_begin_sizes", begin_sizes)
+            .withColumn("_b", F.explode(F.filter("_begin_sizes", lambda b: b <= size)))
+            .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("_b") + 1)))
+            .withColumn("_begin", F.col(text).substr(start, F.col("_b")))
+            .join(begins, [*scope, "_begin"])
+            .withColumn("_h", F.explode(F.filter("_lengths", lambda h: h <= size - start + 1)))
             .withColumn("_head", F.col(text).substr(start, F.col("_h")))
             .join(heads, [*scope, "_head"])
             .withColumn("_n", F.explode(F.filter("_sizes", lambda n: n <= size - start + 1)))
             .withColumn(needle, F.col(text).substr(start, F.col("_n")))
-            .drop("_head_sizes", "_h", "_head", "_sizes", "_n"))
+            .drop("_begin_sizes", "_b", "_begin", "_lengths", "_h", "_head", "_sizes", "_n"))
 
 
 def prefixes(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
