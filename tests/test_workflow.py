@@ -46,6 +46,21 @@ def test_histories_equal_one_request_at_a_time(spark):
         assert {r.key: r.status for r in last.collect()} == {k: s for k, s in final.items() if k in asked}
 
 
+def test_only_runs_are_kept_on_the_way_to_the_last_status(spark, monkeypatch):
+    """Requests meet the workflow as runs: nothing kept besides their places has a row per request."""
+    kept, stage = [], WF.stage
+    monkeypatch.setattr(WF, "stage", lambda df, name: kept.append(stage(df, name)) or kept[-1])
+    tickets, requests, moves = sample(7, 400)
+    tickets += [("K20", "P", None), ("K21", None, "A"), ("K1", *tickets[1][1:]), (None, "P", "A")]
+    requests += [("K20", 5, "go"), ("K21", 5, "go"), ("K2", 5000, None), (None, 5001, "go")]
+    frames = [spark.createDataFrame(d, s) for d, s in zip((tickets, requests, moves), (TICKETS, REQUESTS, MOVES))]
+    _, final = brute(tickets[:-1], [(k, n, name or "") for k, n, name in requests if k], moves)
+    asked = {r[0] for r in requests if r[0]}
+    got = WF.apply_transitions_in_order(*frames, size=16).collect()
+    assert {r.key: r.status for r in got} == {k: s for k, s in final.items() if k in asked} and len(got) == len({r.key for r in got})
+    assert max(df.count() for df in kept) < len(requests) / 5
+
+
 def test_refusals_name_what_the_status_offers(spark):
     tickets = spark.createDataFrame([("K", "P", "Open")], TICKETS)
     moves = spark.createDataFrame([("P", "Open", 1, "2", "Close", "Done"), ("P", "Open", 0, "1", "Start", "Busy"), ("P", "Busy", 0, "3", "Close", "Done")], MOVES)

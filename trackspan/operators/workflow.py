@@ -104,10 +104,35 @@ def transition_history(tickets: DataFrame, requests: DataFrame, workflow: DataFr
                          error.isNull().alias("accepted"), error.alias("error"))
 
 
+def _rules(workflow: DataFrame) -> DataFrame:
+    """``workflow, rules, states``: the maps of all its transitions by lower-case name, and every status it knows."""
+    moves = _moves(workflow).where("name IS NOT NULL").groupBy("workflow").agg(F.map_from_entries(F.collect_list(F.struct("name", "move"))).alias("rules"))
+    return moves.join(_states(workflow), "workflow")
+
+
 def apply_transitions_in_order(tickets: DataFrame, requests: DataFrame, workflow: DataFrame, key: str = "project", size: int = RUN) -> DataFrame:
-    """``key, old_status, status`` of every requested ticket after all its requests in ``seq`` order. Only maps go up; nothing goes back down."""
-    asked = stage(_prepared(tickets, requests, workflow, key), "asked").where("_known")
-    top = _levels(asked.select("ticket_key", "place", "move", "states"), size)[-1]
-    starts = asked.select("ticket_key", "old_status").distinct()
-    return top.join(starts, "ticket_key").select(
-        F.col("ticket_key").alias("key"), "old_status", _after(F.col("move"), F.col("old_status")).alias("status"))
+    """``key, old_status, status`` of every requested ticket after all its requests in ``seq`` order. Only maps go up; nothing goes back down.
+
+    Requests are cut into runs by name; maps come in with the run's workflow. A ticket's first run begins in its status, so its map needs
+    that status alone.
+    """
+    none = F.array().cast("array<string>")
+    known = tickets.where("key IS NOT NULL").select(F.col("key").alias("ticket_key"), F.col("status").alias("old_status"), F.col(key).alias("workflow")).distinct()
+    asked = place_within(requests.select("ticket_key", "seq", F.lower("new_status").alias("name")), "ticket_key", "seq")
+    runs = asked.groupBy("ticket_key", F.expr(f"place DIV {size}").alias("place")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
+    # The ticket's status may be one that the workflow does not know.
+    every = F.array_distinct(F.concat(F.coalesce("states", none), F.array(F.coalesce("old_status", F.lit("")))))
+    runs = runs.join(known, "ticket_key").join(_rules(workflow), "workflow", "left").withColumn(
+        "states", F.when(F.col("place") == 0, F.array(F.coalesce("old_status", F.lit("")))).otherwise(every))
+    after = F.transform("states", lambda s: F.aggregate("names", s, lambda at, n: F.coalesce(F.try_element_at(F.try_element_at("rules", n), at), at)))
+    owner = ["ticket_key", "old_status", "workflow"]
+    rows = stage(runs.select(*owner, "place", "states", F.map_from_arrays("states", after).alias("move")), "composed")
+    longest = rows.agg(F.max("place")).first()[0] or 0
+    while longest > 0:
+        up = rows.groupBy(*owner, F.expr(f"place DIV {size}").alias("place")).agg(
+            F.min_by("states", "place").alias("states"), F.array_sort(F.collect_list(F.struct("place", F.map_entries("move").alias("m")))).alias("steps"))
+        moves = F.transform("steps", lambda x: F.map_from_entries(x["m"]))
+        rows = stage(up.select(*owner, "place", "states", _composed(moves, F.col("states")).alias("move")), "composed")
+        longest //= size
+    return rows.select(F.col("ticket_key").alias("key"), "old_status", _after(F.col("move"), F.col("old_status")).alias("status"))
