@@ -1,5 +1,6 @@
 """Every dealt query: against its SQL or brute force over the smallest tables, and on the edge cases of its docstring."""
 
+import glob
 import hashlib
 import itertools
 import os
@@ -18,6 +19,7 @@ import corpus_pipeline  # noqa: E402
 from oracle_check import compare, connect  # noqa: E402
 from trackspan.llm import (components, decontaminate, licenses, order_minhash, pareto, queries, rotation_codes, rules,  # noqa: E402
                            sanitise, snapshots, token_counts, token_files)
+from trackspan.staging import shared_dir  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row long, rank double, H string"
@@ -140,6 +142,35 @@ def test_near_duplicates_of_short_texts(spark):
     assert [got[i] for i in range(len(texts))] == partner
 
 
+def test_few_pairs_are_aligned_where_a_class_meets_single_texts(spark, monkeypatch):
+    """Texts near the limit meet a large class in many pairs; the likeliest of them settle it."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+
+    def moved(n):  # word counts stay as they are, and each move takes two edits
+        words = list(base)
+        for _ in range(n):
+            words.insert(rng.randrange(100), words.pop(rng.randrange(100)))
+        return " ".join(words)
+
+    texts = {**{i: moved(4) for i in range(60)}, **{i: moved(7) for i in range(100, 130)}, **{i: moved(1) for i in range(200, 206)}}
+    aligned = []
+    plain = order_minhash.verified
+    monkeypatch.setattr(order_minhash, "verified", lambda near, *rest: aligned.append(near.count()) or plain(near, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    assert found == dict.fromkeys(texts, 0)
+    assert sum(aligned) < 240  # 374 when all pairs were aligned at once
+
+
+def test_sketches_go_before_the_classes_are_found(spark):
+    """The largest intermediate table does not stay on disk beside those made from it."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/trackspan-sketches-*"))
+    order_minhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d e f")], "doc_id long, text string"))
+    assert set(glob.glob(f"{folder}/trackspan-sketches-*")) <= before
+
+
 def test_near_duplicates_edges(edge, empty):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.class_size) for r in order_minhash.near_duplicates(edge).collect())
     assert got == [(-1, None, 1), (0, 0, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 4), (4, 4, 4), (4, 4, 4), (5, 4, 4), (6, 6, 1), (7, 7, 1), (99, 99, 1)]

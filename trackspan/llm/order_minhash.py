@@ -16,9 +16,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..staging import stage
+from ..staging import scope, stage
 from .common import fresh, map_groups, mix64, ship, word_pieces, words_of
 from .components import components
 
@@ -35,7 +35,8 @@ BINS = 512
 TILE = 2000
 CHUNK = 1 << 15
 SLOTS = 1 << 20
-SKETCH = "doc_id long, key binary, n_words long, bins binary, marks binary, sketch array<long>"
+PER_MEETING = 2
+SKETCH = "doc_id long, key binary, n_words long, bins binary, sketch array<long>"
 SEEDS = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -126,16 +127,15 @@ def deletions(codes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, key, n_words, bins, marks, sketch`` of every row with words and an id.
+    """``doc_id, key, n_words, bins, sketch`` of every row with words and an id.
 
     ``key`` is a 128-bit hash of the word sequence, ``bins`` the number of words (little-endian
     uint32) and their counts in 512 hashed bins (a byte each, at most 255), from which a lower bound of the edit distance
-    follows. ``sketch`` has the sketch numbers, of which ``marks`` has 32 bits each, and, for texts of up to ``EXACT`` words,
-    those of :func:`deletions`.
+    follows. ``sketch`` has the sketch numbers and, for texts of up to ``EXACT`` words, after them those of :func:`deletions`.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, sizes, bins, marks, out = [], [], [], [], [], []
+            ids, keys, sizes, bins, out = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 key, parts = hashlib.blake2b(digest_size=16), []
                 for words in word_pieces(text.as_buffer().to_pybytes()):
@@ -150,15 +150,14 @@ def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 counts = np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8)
                 bins.append(np.array([len(codes)], "<u4").tobytes() + counts.tobytes())
                 out.append(sketch_of(codes))
-                marks.append(_marks(out[-1]).tobytes())
                 if len(codes) <= EXACT:
                     out[-1] = np.concatenate([out[-1], deletions(codes, similarity)])
             ends = np.cumsum([0, *map(len, out)])
             flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()),
-                pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                names=["doc_id", "key", "n_words", "bins", "marks", "sketch"])
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                names=["doc_id", "key", "n_words", "bins", "sketch"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, SKETCH)
@@ -241,9 +240,23 @@ def _may_match(nx, x: np.ndarray, ny, y: np.ndarray, similarity: float) -> np.nd
     return least <= ((1 - similarity) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
 
 
+def slot_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias("slot")
+
+
+def in_slots(rows: DataFrame, column: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose ``column`` may be among the values of ``wanted`` (``left_anti``: the rows where it is not).
+
+    What goes out to the tasks are hash slots of the values, ``SLOTS`` numbers at most, whatever their count. Rows that nobody asks for
+    stay where they are; the others meet the values in a join of the caller.
+    """
+    slots = wanted.select(slot_of(wanted.columns[0])).distinct()
+    return rows.select("*", slot_of(column)).join(F.broadcast(slots), "slot", how).drop("slot")
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``a, b`` of node ids that lengths and counts of words allow, as a staged table."""
-    counts = nodes.select("doc_id", "bins")
+    """The pairs ``a, b`` of node ids, a staged table, that lengths and counts of words allow, as a staged table."""
+    counts = in_slots(nodes.select("doc_id", "bins"), "doc_id", pairs.select("a").union(pairs.select("b")))
     near = (pairs.join(counts.withColumnsRenamed({"doc_id": "a", "bins": "x"}), "a")
             .join(counts.withColumnsRenamed({"doc_id": "b", "bins": "y"}), "b").select("a", "b", "x", "y"))
     return stage(near.mapInArrow(_bound(similarity), "a long, b long"), "candidates")
@@ -257,9 +270,7 @@ def verified(near: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -
     """
     wanted = stage(near.select("a").union(near.select("b")).distinct().select(F.col("a").alias("node")), "wanted")
     own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
-    # Texts that nobody asks for stay where they are: the slots of the ids asked for are SLOTS numbers at most, whatever their count.
-    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int").alias("slot")
-    own = own.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    own = in_slots(own, "node", wanted)
     # Rows of one id should be one text; if they are not, the least text stands for the id.
     texts = stage(own.join(wanted, "node", "left_semi"), "texts")
     texts = texts.groupBy("node").agg(F.min("text").alias("text")) if texts.count() > wanted.count() else texts
@@ -279,55 +290,118 @@ def verified(near: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -
     return joined.mapInArrow(align, "a long, b long")
 
 
-def _mark_rows(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def _mark_rows(marks: pa.ListArray, sizes: np.ndarray) -> np.ndarray:
     """The marks of a text per row, at their places; where a text has none stands a number that no other row has."""
-    rows = np.repeat(np.arange(len(packed), dtype=np.uint64)[:, None], WIDTH, axis=1) + np.uint64(1 << 32)
-    for i, raw in enumerate(packed):
-        rows[i, places_of(int(sizes[i]))] = np.frombuffer(raw, "<u4")
+    rows = np.repeat(np.arange(len(sizes), dtype=np.uint64)[:, None], WIDTH, axis=1) + np.uint64(1 << 32)
+    starts, values = marks.offsets.to_numpy(), marks.values.to_numpy().view(np.uint32)
+    places: dict[int, np.ndarray] = {}
+    for i, size in enumerate(sizes.tolist()):
+        own = places[size] if size in places else places.setdefault(size, places_of(size))
+        rows[i, own] = values[starts[i]:starts[i] + len(own)]
     return rows
 
 
-def _tile_pairs(similarity: float):
-    """Pairs of a tile that are in different classes so far and that lengths and word counts allow.
+def _within(sizes: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    return np.abs(sizes - size) <= ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
+
+
+def _live_members(similarity: float):
+    """The members of a tile that some member of another class there may be similar to, by their numbers of words.
+
+    In the order of these numbers those near one's own stand together, and another class is among them where the class changes.
+    """
+    def run(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+        sizes, roots = table.column("n_words").to_numpy(), table.column("root").to_numpy()
+        alive = np.zeros(len(sizes), bool)
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            order = begin + np.argsort(sizes[begin:end], kind="stable")
+            own, classes = sizes[order], roots[order]
+            changes = np.concatenate([[0], np.cumsum(classes[1:] != classes[:-1])])
+            # One word of slack either way, as the exact bound follows.
+            first = np.searchsorted(own, np.floor(own * similarity) - 1, "left")
+            last = np.searchsorted(own, np.ceil(own / similarity) + 1, "right") - 1 if similarity > 0 else np.full(len(own), len(own) - 1)
+            alive[order] = changes[last] > changes[first]
+        if not alive.any():
+            return None
+        return table.filter(pa.array(alive)).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _tile_pairs(similarity: float, most: int | None):
+    """``a, b, h``: pairs of a tile that are in different classes so far and that lengths and word counts allow.
 
     Two texts meet in every bucket they share. A pair is given out in the bucket of the first sketch that both have alike, so by
     one tile only; a pair that no sketch but deletions bring together, by each of those. (Sketches count as alike by 32 bits: of 10^8 pairs some
-    four fall to a bucket they do not share and are not compared there.)
+    four fall to a bucket they do not share and are not compared there.) Of two classes no more than ``most`` pairs are given
+    out, those with most sketches alike; ``h`` is the bucket if it has more, else null.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64())])
 
     def run(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        ids, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        ids, roots, buckets = (table.column(c).to_numpy() for c in ("node", "root", "h"))
         halves, square = table.column("half").to_numpy(), table.column("square").to_numpy(zero_copy_only=False)
-        bucket = _marks(table.column("h").to_numpy())
+        bucket = _marks(buckets)
         sizes, counts = _counts(table.column("bins").to_pylist())
-        marks = _mark_rows(table.column("marks").to_pylist(), sizes)
-        found_a, found_b = [], []
+        marks = _mark_rows(table.column("marks").combine_chunks(), sizes)
+        out = []
         for begin, end in zip(bounds[:-1], bounds[1:]):
+            found = []
             for i in range(begin, end - 1):
                 others = np.arange(i + 1, end)
                 # Tiles off the diagonal compare the two halves only.
-                live = (roots[others] != roots[i]) & (square[i] | (halves[others] != halves[i]))
-                others = others[live]
-                apart = np.abs(sizes[others] - sizes[i])
-                others = others[apart <= ((1 - similarity) * np.maximum(sizes[others], sizes[i]) + 1e-9).astype(np.int64)]
+                others = others[(roots[others] != roots[i]) & (square[i] | (halves[others] != halves[i]))]
+                others = others[_within(sizes[others], sizes[i], similarity)]
                 if not len(others):
                     continue
                 alike = marks[others] == marks[i]
                 first = alike.argmax(axis=1)
-                others = others[(marks[i, first] == bucket[i]) | ~alike[np.arange(len(others)), first]]
-                if len(others):
-                    others = others[_may_match(sizes[i], counts[i][None, :], sizes[others], counts[others], similarity)]
-                    found_a.append(np.full(len(others), ids[i]))
-                    found_b.append(ids[others])
-        if not found_a:
-            return None
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                mine = (marks[i, first] == bucket[i]) | ~alike[np.arange(len(others)), first]
+                others, alike = others[mine], alike[mine]
+                near = _may_match(sizes[i], counts[i][None, :], sizes[others], counts[others], similarity)
+                if near.any():
+                    found.append(np.stack([np.full(near.sum(), i), others[near], alike[near].sum(axis=1)]))
+            if not found:
+                continue
+            x, y, shared = np.concatenate(found, axis=1)
+            held = np.full(len(x), False)
+            if most is not None:
+                low, high = np.minimum(roots[x], roots[y]), np.maximum(roots[x], roots[y])
+                order = np.lexsort((-shared, high, low))
+                x, y, low, high = x[order], y[order], low[order], high[order]
+                new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+                at = np.arange(len(x))
+                kept = at - np.maximum.accumulate(np.where(new, at, 0)) < most
+                x, y, held = x[kept], y[kept], np.full(kept.sum(), not kept.all())
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])),
+                                                   pa.array(buckets[x], mask=~held)], schema=schema))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     return run
 
 
+def tile_pairs(filled: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, tile: int, most: int | None) -> DataFrame:
+    """``a, b, h`` of :func:`_tile_pairs` for the buckets ``h, node, n`` that hold several classes of ``node, root``, as a staged table.
+
+    Buckets are compared in tiles of at most two times ``tile`` members. What is compared of a text is fetched for those members only
+    to which lengths leave a partner.
+    """
+    classed = stage(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    mixed = classed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("h")
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    tiles = (classed.join(mixed, "h").withColumn("parts", parts).withColumn("half", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select(F.xxhash64("h", F.least("half", "other"), F.greatest("half", "other")).alias("tile"), "h", "node", "root", "half",
+                     (F.col("half") == F.col("other")).alias("square")))
+    tiles = tiles.join(nodes.select(F.col("doc_id").alias("node"), "n_words"), "node")
+    live = stage(map_groups(tiles, "tile", _live_members(similarity), tiles.schema), "live-members")
+    low = F.transform(F.slice("sketch", 1, WIDTH), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    own = in_slots(nodes.select(F.col("doc_id").alias("node"), "bins", low.alias("marks")), "node", live.select("node"))
+    compared = live.drop("n_words").join(own, "node")
+    return stage(map_groups(compared, "tile", _tile_pairs(similarity, most), "a long, b long, h long"), "tile-pairs")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """``doc_id, class_id, class_size, kept`` for every row of ``doc_id, text``.
 
@@ -338,19 +412,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
 
     Texts are collapsed to one node per word sequence, so copies cost nothing further. Buckets of equal sketch numbers
     give pairs in three steps that never list all pairs of a bucket of similar texts. Each node first meets one least
-    member of its buckets, then any two classes that meet do so in one pair: a group of mutually similar texts is one
+    member of its buckets whose length allows it, then any two classes that meet do so in one pair: a group of mutually similar texts is one
     class after that. Buckets that still hold several classes are compared in tiles of at most two times ``tile``
-    members, keeping pairs of different classes that word counts allow, each once; those are aligned too, so no candidate is lost.
+    members, keeping pairs of different classes that word counts allow, each once; first a few of each two classes, then, of the classes
+    that are still apart, all. Those are aligned too, so no candidate is lost.
     """
-    sketched = stage(sketches(docs, similarity), "sketches")
-    groups = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
-    members = sketched.select("key", "doc_id").join(groups, "key").select("doc_id", "node").distinct()
-    nodes = sketched.join(groups, "key").where("doc_id = node").select("doc_id", "bins", "marks", "sketch")
-    nodes = stage(nodes.dropDuplicates(["doc_id"]) if _repeats(sketched) else nodes, "sketched-nodes")
+    with scope():  # sketches go as soon as each word sequence has its node
+        sketched = stage(sketches(docs, similarity), "sketches")
+        groups = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
+        members = stage(sketched.select("key", "doc_id").join(groups, "key").select("doc_id", "node").distinct(), "members", kept=True)
+        several = groups.where("n > 1").select("key", "node")
+        wide = sketched.select("doc_id", "key", "n_words", "bins", "sketch")
+        copied = in_slots(wide, "key", several).join(several.withColumnRenamed("node", "least"), "key", "left").where("doc_id = coalesce(least, doc_id)")
+        nodes = in_slots(wide, "key", several, "left_anti").drop("key").union(copied.drop("key", "least"))
+        nodes = stage(nodes.dropDuplicates(["doc_id"]) if _repeats(sketched) else nodes, "sketched-nodes", kept=True)
     hashes = nodes.select(F.col("doc_id").alias("node"), F.explode("sketch").alias("h"))
-    buckets = stage(hashes.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    filled = stage(hashes.join(buckets, "h"), "bucketed")
-    meetings = stage(filled.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared")), "meetings")
+    bucket = Window.partitionBy("h")
+    filled = hashes.select("h", "node", F.min("node").over(bucket).alias("pivot"), F.count("*").over(bucket).alias("n")).where("n > 1")
+    filled = stage(filled, "bucketed")
+    sizes = nodes.select(F.col("doc_id").alias("node"), F.col("n_words").alias("size"))
+    met = (filled.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+           .join(sizes, "node").join(sizes.withColumnsRenamed({"node": "pivot", "size": "pivot_size"}), "pivot"))
+    room = (F.lit(1 - similarity) * F.greatest("size", "pivot_size") + F.lit(1e-9)).cast("long")
+    meetings = stage(met.where(F.abs(F.col("size") - F.col("pivot_size")) <= room).select("node", "pivot", "shared"), "meetings")
 
     # Each node with the least member it shares most buckets with: at most one pair per node.
     best = meetings.groupBy("node").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("low"))).alias("x"))
@@ -369,20 +453,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     links = stage(links.union(verified(possible(second, nodes, similarity), docs, similarity)), "links")
     roots = stage(components(links), "roots")
 
-    # Buckets that still hold several classes, in tiles.
-    classed = stage(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
-    mixed = stage(classed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("h"), "mixed")
-    parts = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    tiles = (classed.join(mixed, "h").withColumn("parts", parts).withColumn("half", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select(F.xxhash64("h", F.least("half", "other"), F.greatest("half", "other")).alias("tile"), "h", "node", "root", "half",
-                     (F.col("half") == F.col("other")).alias("square")))
-    tiles = tiles.join(nodes.select(F.col("doc_id").alias("node"), "bins", "marks"), "node")
-    more = stage(map_groups(tiles, "tile", _tile_pairs(similarity), "a long, b long").distinct()
-                 .join(first.union(second), ["a", "b"], "left_anti"), "more-candidates")
-    late = stage(verified(more, docs, similarity), "more-links")
-    final = components(links.union(late))
+    # Buckets that still hold several classes, in tiles: the likeliest pairs of each two classes, then all pairs of those that are left.
+    tried = first.union(second)
+    for most in (PER_MEETING, None):
+        more = tile_pairs(filled, roots, nodes, similarity, tile, most)
+        found = stage(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more-candidates")
+        links = stage(links.union(verified(found, docs, similarity)), "more-links")
+        roots, tried = stage(components(links), "more-roots"), tried.union(found)
+        held = more.select("h").where("h IS NOT NULL").distinct()
+        if held.isEmpty():
+            break
+        filled = filled.join(held, "h", "left_semi")
+    final = roots
 
     classes = members.join(final, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     classes = stage(classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
