@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import CountVectorizerModel
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -296,6 +297,18 @@ def test_spelling_edges(spark, edge, empty):
 # -- queries ----------------------------------------------------------------------------------------------
 
 
+def test_sums_of_vectors_travel_in_blocks(spark, monkeypatch):
+    """Tasks hand on blocks of sums, not a row for each term and source; what each source has is added up exactly."""
+    monkeypatch.setattr(source_divergence, "BLOCK", 4)
+    bags = [("a", "x y z x".split()), ("b", "u v w x y z".split()), ("a", ["x"]), ("c", []), ("a", "w w v".split())] * 3
+    rows = spark.createDataFrame(bags, "source string, terms array<string>").repartition(3)
+    model = CountVectorizerModel.from_vocabulary(sorted("uvwxyz"), inputCol="terms", outputCol="vector")
+    sums = source_divergence.group_sums(model.transform(rows).select("source", "vector"), 6)
+    want = {("uvwxyz".index(t), s): sum(bag.count(t) for s2, bag in bags if s2 == s) for s, bag in bags for t in bag}
+    assert {(r.term_id, r.source): r.n for r in sums.collect()} == want and sums.count() == len(want)
+    assert "HashAggregate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["op12_source_divergence", "op13_spelling_variants"])
 def test_query_equals_sql_on_more_rows(spark, name):
     assert compare(spark, connect(LARGER), name, queries.QUERIES[name], queries.ORACLE[name], LARGER) is None

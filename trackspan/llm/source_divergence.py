@@ -30,6 +30,7 @@ ALL_TERMS = (1 << 31) - 1
 MARK = b"\x00"  # stands in no term, so it parts a term from its language
 BATCH_TERMS = 1 << 17
 MOST_CELLS = 1 << 23  # of the sums that a task holds before it hands them on: 64 MB
+BLOCK = 1 << 12  # cells that are handed on as one row
 PER = 1_000_000_000
 
 
@@ -57,7 +58,8 @@ def group_sums(vectors: DataFrame, size: int) -> DataFrame:
     """``term_id, source, n``: the sums of sparse vectors per source, exact.
 
     A task adds the vectors of a source to one array, as a summarizer does, and hands on what is not zero at its end, or
-    before that when the arrays of many sources reach the limit.
+    before that when the arrays of many sources reach the limit. Blocks of neighbouring cells travel as one row and are added
+    up where all blocks of a source and place meet.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -65,10 +67,13 @@ def group_sums(vectors: DataFrame, size: int) -> DataFrame:
         def handed_on() -> Iterator[pa.RecordBatch]:
             for source, own in sums.items():
                 at = np.flatnonzero(own)
-                for first in range(0, len(at), 1 << 17):
-                    some = at[first:first + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([source] * len(some), pa.string()), pa.array(own[some])],
-                                                     names=["term_id", "source", "n"])
+                cuts = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
+                ends = pa.array(np.append(cuts, len(at)), pa.int32())
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([source] * len(cuts), pa.string()), pa.array((at[cuts] // BLOCK).astype(np.int32)),
+                        pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(own[at]))],
+                        names=["source", "block", "at", "n"])
             sums.clear()
 
         for batch in batches:
@@ -82,8 +87,31 @@ def group_sums(vectors: DataFrame, size: int) -> DataFrame:
                 sums[source][ids[ends[i]:ends[i + 1]]] += values[ends[i]:ends[i + 1]]
         yield from handed_on()
 
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, np.zeros(BLOCK, np.int64)
+
+        def whole() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            out = [pa.array((at + held[1] * BLOCK).astype(np.int32)), pa.array([held[0]] * len(at), pa.string()), pa.array(total[at])]
+            total[:] = 0
+            return pa.RecordBatch.from_arrays(out, names=["term_id", "source", "n"])
+
+        for batch in batches:
+            places, counts = batch.column(2), batch.column(3)
+            ends, at, values = places.offsets.to_numpy(), places.values.to_numpy(), counts.values.to_numpy()
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key != held:
+                    if held:
+                        yield whole()
+                    held = key
+                total[at[ends[i]:ends[i + 1]] - key[1] * BLOCK] += values[ends[i]:ends[i + 1]]
+        if held:
+            yield whole()
+
     cells = vectors.select("source", F.unwrap_udt("vector").alias("v")).select("source", "v.indices", "v.values")
-    return cells.mapInArrow(run, "term_id int, source string, n long").groupBy("term_id", "source").agg(F.sum("n").alias("n"))
+    blocks = cells.mapInArrow(run, "source string, block int, at array<int>, n array<long>")
+    return (blocks.repartition("source", "block").sortWithinPartitions("source", "block")
+            .mapInArrow(added, "term_id int, source string, n long"))
 
 
 def _vocabulary(spark, model) -> DataFrame:
@@ -172,7 +200,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
     rows = docs.select(lang, source, text)
     vocabulary, counted = term_counts(rows, least_docs)
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("n_terms"))
-    counts = stage(counted.join(vocabulary, "term_id"), "kept-counts")
+    counts = stage(counted.join(vocabulary.select("term_id", "lang"), "term_id"), "kept-counts")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = (rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
               .select("lang", "source", F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
@@ -180,15 +208,19 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
               .withColumn("zero", share("0L", "total")))
     groups = stage(groups, "groups")
     shares = stage(counts.join(groups, ["lang", "source"]).withColumn("p", share("n", "total"))
-                   .select("lang", "source", "term_id", "term", "p", "zero"), "shares")
+                   .select("lang", "source", "term_id", "p", "zero"), "shares")
 
     overall = counts.groupBy("lang", "term_id").agg(F.sum("n").alias("n"))
     lang_total = (overall.groupBy("lang").agg(F.sum("n").alias("n_all")).join(sizes, "lang")
                   .select("lang", F.expr("n_all + 2 * n_terms").alias("total")))
     overall = overall.join(lang_total, "lang").select("lang", "term_id", share("n", "total").alias("q"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    terms = (shares.join(overall, ["lang", "term_id"]).where("p > q")
-             .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(gap("p", "q")).alias("value"))
+    # Terms themselves are fetched for those only that no ten others exceed; they decide between equal values.
+    first = Window.partitionBy("lang", "source").orderBy(F.col("value").desc())
+    most = (shares.join(overall, ["lang", "term_id"]).where("p > q").select("lang", "source", "term_id", F.expr(gap("p", "q")).alias("value"))
+            .withColumn("place", F.rank().over(first)).where(F.col("place") <= top_terms))
+    terms = (most.join(vocabulary.select("term_id", "term"), "term_id")
+             .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_terms))
     pairs = (_pair_values(shares, groups).select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
              .withColumn("rank", F.row_number().over(order)))
